@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import token_counts
+from loomwork.llm import quality_rules, token_counts, url_filters
 from loomwork.session import load_table
 
 QUERIES = {}
@@ -19,3 +19,85 @@ def op4_token_counts(spark, folder):
     import public_tokenizers
 
     return token_counts.count_tokens(load_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: Words of a text in DuckDB, and its A-Z lower-casing.
+SQL_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query
+def op6_quality_rules(spark, folder):
+    return quality_rules.judge_documents(load_table(spark, folder, "documents"))
+
+
+ORACLE["op6_quality_rules"] = f"""
+WITH texts AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, {SQL_WORDS.format("text")} AS ws FROM documents
+), lines AS (
+  SELECT doc_id, source, md5(text) AS text_key, line, {SQL_WORDS.format("line")} AS ws
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM texts)
+), worded AS (
+  SELECT *, {SQL_LOWER.format("array_to_string(ws, ' ')")} AS normal FROM lines WHERE len(ws) > 0
+), hosts AS (
+  SELECT source, count(DISTINCT md5(text)) AS host_documents FROM texts GROUP BY source
+), counts AS (
+  SELECT source, normal, count(DISTINCT text_key) AS n FROM worded GROUP BY source, normal
+), removed AS (
+  SELECT c.source, c.normal FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
+  WHERE c.n > {quality_rules.LINE_DOCUMENTS} AND c.n > {quality_rules.LINE_SHARE} * h.host_documents
+), lost AS (
+  SELECT w.doc_id, sum(len(w.ws)) AS lost FROM worded w JOIN removed r ON w.source IS NOT DISTINCT FROM r.source AND w.normal = r.normal
+  GROUP BY w.doc_id
+), dup_lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM texts)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) AS r(k) GROUP BY doc_id
+), counted AS (
+  SELECT t.doc_id, len(t.ws) AS n_words, coalesce(list_sum(list_transform(t.ws, lambda w: length(w))), 0) AS word_chars,
+    length(t.text) - length(translate(t.text, '#*$%&|<>', '')) AS n_symbols,
+    coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.lost, 0) AS n_removed_words
+  FROM texts t LEFT JOIN dup_lines d USING (doc_id) LEFT JOIN repeats r USING (doc_id) LEFT JOIN lost l USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(n_removed_words AS BIGINT) AS n_removed_words,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_removed_words > 0 AND
+    (n_words - n_removed_words < {quality_rules.LEFT_WORDS} OR n_words - n_removed_words < {quality_rules.LEFT_SHARE} * n_words)) AS kept
+FROM counted
+"""
+
+#: The rules of the query (action, host, path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op8_url_filters(spark, folder):
+    return url_filters.judge_urls(load_table(spark, folder, "pages"), url_filters.rule_table(spark, URL_RULES))
+
+
+ORACLE["op8_url_filters"] = f"""
+WITH rules(action, rule_host, rule_path) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+rests AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, {SQL_LOWER.format("regexp_extract(rest, '^[^/?#]*', 0)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), fits AS (
+  SELECT p.page_id, r.rule_host || r.rule_path AS rule, r.action,
+    row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule_host || r.rule_path) DESC, length(r.rule_host) DESC, r.action DESC) AS n
+  FROM parts p JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
+FROM parts p LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON p.page_id = f.page_id
+"""
