@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwork.llm import quality_rules, token_counts, url_filters
+from loomwork.llm import quality_rules, source_mixing, token_counts, url_filters
 from loomwork.session import load_table
 
 QUERIES = {}
@@ -101,3 +101,46 @@ rests AS (
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
 FROM parts p LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON p.page_id = f.page_id
 """
+
+
+@query
+def op7_source_mixing(spark, folder):
+    return source_mixing.mix_documents(load_table(spark, folder, "documents")).drop("draws")
+
+
+ORACLE["op7_source_mixing"] = f"""
+WITH base AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, md5(concat_ws(':', '7', doc_id)) AS hash,
+    CAST(len({SQL_WORDS.format("text")}) AS BIGINT) AS size FROM documents
+), sizes AS (
+  SELECT key, sum(size) AS source_size, (row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS weight FROM base GROUP BY key
+), ratios AS (
+  SELECT *, 3 * source_size AS cap, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, key
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY 3 * source_size / weight, key
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM sizes
+), levels AS (
+  SELECT arg_min(level, (cap / weight, key)) AS level FROM ratios WHERE level <= cap / weight
+), sources AS (
+  SELECT key, source_size, target, whole, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) AS rest FROM (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM (
+      SELECT r.key, r.source_size, least(l.level * r.weight, CAST(r.cap AS DOUBLE)) AS target FROM ratios r, levels l))
+), blocks AS (
+  SELECT key, block, words, sum(words) OVER (PARTITION BY key ORDER BY block) AS until
+  FROM (SELECT key, substring(hash, 1, 3) AS block, sum(size) AS words FROM base GROUP BY 1, 2)
+), cuts AS (
+  SELECT key, block, rest - until + words AS left_over FROM blocks JOIN sources USING (key) WHERE until > rest AND until - words <= rest
+), inside AS (
+  SELECT b.key, c.left_over, b.hash, sum(b.size) OVER (PARTITION BY b.key ORDER BY b.hash) AS until
+  FROM base b JOIN cuts c ON b.key = c.key AND substring(b.hash, 1, 3) = c.block
+), ends AS (
+  SELECT c.key, c.block, coalesce(max(i.hash), '') AS cut_hash, any_value(c.left_over) - coalesce(max(i.until), 0) AS gap
+  FROM cuts c LEFT JOIN (SELECT * FROM inside WHERE until <= left_over) i USING (key) GROUP BY c.key, c.block
+), nearest AS (
+  SELECT b.key, arg_min(b.hash, (abs(e.gap - b.size), b.hash)) AS fit_hash FROM base b JOIN ends e USING (key)
+  WHERE e.gap > 0 AND substring(b.hash, 1, 3) >= e.block AND b.hash > e.cut_hash AND abs(e.gap - b.size) < e.gap GROUP BY b.key
+)
+SELECT b.doc_id, b.size, CAST(s.source_size AS BIGINT) AS source_size, s.target, CAST(b.size * (s.whole +
+  CASE WHEN k.until <= s.rest OR (substring(b.hash, 1, 3) = e.block AND b.hash <= e.cut_hash) OR b.hash = n.fit_hash THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM base b JOIN sources s USING (key) JOIN blocks k ON k.key = b.key AND k.block = substring(b.hash, 1, 3)
+LEFT JOIN ends e ON e.key = b.key LEFT JOIN nearest n ON n.key = b.key
+"""
