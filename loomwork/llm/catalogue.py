@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from loomwork.llm import quality_rules, source_mixing, token_counts, url_filters
+from pyspark.sql import functions as F
+
+from loomwork.llm import quality_rules, source_mixing, substring_dedup, token_counts, url_filters
 from loomwork.session import load_table
 
 QUERIES = {}
@@ -144,3 +146,29 @@ SELECT b.doc_id, b.size, CAST(s.source_size AS BIGINT) AS source_size, s.target,
 FROM base b JOIN sources s USING (key) JOIN blocks k ON k.key = b.key AND k.block = substring(b.hash, 1, 3)
 LEFT JOIN ends e ON e.key = b.key LEFT JOIN nearest n ON n.key = b.key
 """
+
+
+@query
+def op5_substring_dedup(spark, folder):
+    kept = substring_dedup.remove_repeats(load_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op5_substring_dedup"] = f"""
+WITH texts AS (
+  SELECT doc_id, {SQL_WORDS.format("text")} AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM texts)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first_id FROM windows) WHERE first_id < doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM texts
+), marked AS (
+  SELECT w.doc_id, w.i, w.word, max(r.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS latest
+  FROM words w LEFT JOIN repeated r ON r.doc_id = w.doc_id AND r.i = w.i
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM marked WHERE latest IS NULL OR i - latest >= 50 GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(len(t.ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""
