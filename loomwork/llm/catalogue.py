@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import quality_rules, source_mixing, substring_dedup, token_counts, url_filters
+from loomwork.llm import decontamination, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
 from loomwork.session import load_table
 
 QUERIES = {}
@@ -172,3 +172,40 @@ WITH texts AS (
 SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(len(t.ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM texts t LEFT JOIN kept k USING (doc_id)
 """
+
+
+@query
+def op10_decontamination(spark, folder):
+    return decontamination.find_leaks(load_table(spark, folder, "documents"), load_table(spark, folder, "benchmark"))
+
+
+ORACLE["op10_decontamination"] = r"""
+WITH items AS (
+  SELECT item_id, len(ws) AS n, greatest(len(ws) - 4, 1) AS m, ws FROM
+    (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark) WHERE len(ws) > 0
+), item_shingles AS (
+  SELECT item_id, n, m, array_to_string(list_slice(ws, p, p + least(n, 5) - 1), ' ') AS h, count(*) AS c
+  FROM (SELECT *, unnest(range(1, m + 1)) AS p FROM items) GROUP BY ALL
+), texts AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents
+), widths AS (
+  SELECT DISTINCT least(n, 5) AS k FROM items
+), shingles AS (
+  SELECT doc_id, k, len(ws) AS n_words, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS h
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM texts, widths)
+), hits AS (
+  SELECT DISTINCT s.doc_id, x.item_id, x.n, x.m, s.n_words, s.i FROM shingles s JOIN item_shingles x ON s.h = x.h AND s.k = least(x.n, 5)
+), windows AS (
+  SELECT DISTINCT doc_id, item_id, n, m, start FROM
+    (SELECT *, unnest(range(i - m + 1, i + 1)) AS start FROM hits) WHERE start >= 1 AND start + n - 1 <= n_words
+), weights AS (
+  SELECT w.doc_id, w.item_id, w.n, w.m, w.start, s.h, count(*) AS c
+  FROM windows w JOIN shingles s ON s.doc_id = w.doc_id AND s.k = least(w.n, 5) AND s.i >= w.start AND s.i < w.start + w.m GROUP BY ALL
+), scored AS (
+  SELECT w.doc_id, w.item_id, w.n, w.m, w.start, sum(least(w.c, x.c)) AS shared
+  FROM weights w JOIN item_shingles x ON x.item_id = w.item_id AND x.h = w.h GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(arg_min(start, (-shared, start)) - 1 AS BIGINT) AS start_word, CAST(any_value(n) AS BIGINT) AS n_words,
+  CAST(max(shared) AS BIGINT) AS shared_weight, CAST(2 * any_value(m) - max(shared) AS BIGINT) AS total_weight
+FROM scored WHERE 100 * shared >= 80 * (2 * m - shared) GROUP BY doc_id, item_id
+"""
