@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontamination, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
+from loomwork.llm import decontamination, ngram_join, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
 from loomwork.session import load_table
 
 QUERIES = {}
@@ -209,3 +209,28 @@ SELECT doc_id, item_id, CAST(arg_min(start, (-shared, start)) - 1 AS BIGINT) AS
   CAST(max(shared) AS BIGINT) AS shared_weight, CAST(2 * any_value(m) - max(shared) AS BIGINT) AS total_weight
 FROM scored WHERE 100 * shared >= 80 * (2 * m - shared) GROUP BY doc_id, item_id
 """
+
+
+@query
+def op2_ngram_join(spark, folder):
+    return ngram_join.similar_groups(load_table(spark, folder, "documents"))
+
+
+ORACLE["op2_ngram_join"] = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, {SQL_WORDS.format(SQL_LOWER.format("text"))} AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM texts WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared s JOIN sizes a ON a.doc_id = s.x JOIN sizes b ON b.doc_id = s.y WHERE 100 * s.n >= 80 * (a.n + b.n - s.n)
+), reach(x, y) AS (
+  SELECT doc_id, doc_id FROM texts UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT t.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, r.component_id
+FROM texts t LEFT JOIN sizes z USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING (doc_id)
+"""
