@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontamination, ngram_join, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
+from loomwork.llm import decontamination, lm_scoring, ngram_join, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
 from loomwork.session import load_table
 
 QUERIES = {}
@@ -234,3 +234,10 @@ WITH RECURSIVE texts AS (
 SELECT t.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, r.component_id
 FROM texts t LEFT JOIN sizes z USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING (doc_id)
 """
+
+
+@query
+def op9_lm_scoring(spark, folder):
+    """The target model learns from documents labelled good and not toxic."""
+    good = load_table(spark, folder, "labels").filter("quality = 1 and toxic = 0")
+    return lm_scoring.score_documents(load_table(spark, folder, "documents"), good)
