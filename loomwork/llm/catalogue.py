@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontamination, lm_scoring, ngram_join, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
+from loomwork.llm import decontamination, language_id, lm_scoring, ngram_join, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
 from loomwork.session import load_table
 
 QUERIES = {}
@@ -241,3 +241,8 @@ def op9_lm_scoring(spark, folder):
     """The target model learns from documents labelled good and not toxic."""
     good = load_table(spark, folder, "labels").filter("quality = 1 and toxic = 0")
     return lm_scoring.score_documents(load_table(spark, folder, "documents"), good)
+
+
+@query
+def op1_language_id(spark, folder):
+    return language_id.identify_languages(load_table(spark, folder, "documents"), spans=False)
