@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontamination, language_id, lm_scoring, ngram_join, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
+from loomwork.llm import decontamination, html_extraction, language_id, lm_scoring, ngram_join, quality_rules, source_mixing, substring_dedup, token_counts, url_filters
 from loomwork.session import load_table
 
 QUERIES = {}
@@ -246,3 +246,8 @@ def op9_lm_scoring(spark, folder):
 @query
 def op1_language_id(spark, folder):
     return language_id.identify_languages(load_table(spark, folder, "documents"), spans=False)
+
+
+@query
+def op3_html_extraction(spark, folder):
+    return html_extraction.extract_texts(load_table(spark, folder, "pages"))
