@@ -30,7 +30,7 @@ SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 
 @query
 def op6_quality_rules(spark, folder):
-    return quality_rules.judge_documents(load_table(spark, folder, "documents"))
+    return quality_rules.judge_documents(load_table(spark, folder, "documents")).drop("text_row")
 
 
 ORACLE["op6_quality_rules"] = f"""
@@ -154,7 +154,7 @@ def op5_substring_dedup(spark, folder):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-ORACLE["op5_substring_dedup"] = f"""
+KEPT_TEXT = f"""
 WITH texts AS (
   SELECT doc_id, {SQL_WORDS.format("text")} AS ws FROM documents
 ), windows AS (
@@ -169,9 +169,10 @@ WITH texts AS (
 ), kept AS (
   SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM marked WHERE latest IS NULL OR i - latest >= 50 GROUP BY doc_id
 )
-SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(len(t.ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(len(t.ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, coalesce(k.t, '') AS kept_text
 FROM texts t LEFT JOIN kept k USING (doc_id)
 """
+ORACLE["op5_substring_dedup"] = f"SELECT doc_id, n_words, n_removed, sha256(kept_text) AS kept_sha256 FROM ({KEPT_TEXT})"
 
 
 @query
@@ -213,7 +214,7 @@ FROM scored WHERE 100 * shared >= 80 * (2 * m - shared) GROUP BY doc_id, item_id
 
 @query
 def op2_ngram_join(spark, folder):
-    return ngram_join.similar_groups(load_table(spark, folder, "documents"))
+    return ngram_join.similar_groups(load_table(spark, folder, "documents")).drop("text_row")
 
 
 ORACLE["op2_ngram_join"] = f"""

@@ -82,7 +82,7 @@ def emit_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents = [lowered_words(t) for t in batch.column("text").to_pylist()]
         keys = [class_key(d) if d else (None, None) for d in documents]
         n = np.bincount(shingle_sets(documents)[1], minlength=len(documents))
-        columns = {"id": batch.column("id"), "c1": pa.array([k[0] for k in keys], pa.int64()), "c2": pa.array([k[1] for k in keys], pa.int64())}
+        columns = {"id": batch.column("id"), "text_row": batch.column("text_row"), "c1": pa.array([k[0] for k in keys], pa.int64()), "c2": pa.array([k[1] for k in keys], pa.int64())}
         yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(n, pa.int64())})
 
 
@@ -292,11 +292,12 @@ def class_links(kept: DataFrame) -> DataFrame:
 
 
 def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: its id, n_shingles and component_id, the least id that links reach (its own included)."""
+    """Per row: its id, n_shingles, component_id, the least id that links reach (its own included), and text_row, a hash of
+    its id and text."""
     ship(df.sparkSession)
-    rows = columns_of(df, id=id_column, text=text_column)
+    rows = columns_of(df, id=id_column, text=text_column).withColumn("text_row", F.xxhash64("id", "text"))
     kind = rows.schema["id"].dataType.simpleString()
-    stats = checkpointed(rows.mapInArrow(emit_classes, f"id {kind}, c1 bigint, c2 bigint, n bigint"))
+    stats = checkpointed(rows.mapInArrow(emit_classes, f"id {kind}, text_row bigint, c1 bigint, c2 bigint, n bigint"))
     total = stats.agg(F.sum("n")).first()[0] or 0
     partitions = max(LEAST_PARTITIONS, math.ceil(total / PARTITION_SHINGLES))
 
@@ -311,4 +312,13 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     placed = classes.join(least, "label").select("c1", "c2", "component_id")
     joined = stats.join(placed, ["c1", "c2"], "left")
-    return joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("c1").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return joined.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("c1").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "text_row")
+
+
+def one_of_each_group(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` without near copies: of each group the row with the least id; rows without an id all stay."""
+    groups = similar_groups(df, id_column, text_column)
+    first = groups.filter(F.col(id_column).isNotNull()).groupBy("component_id").agg(F.min(F.struct(id_column, "text_row")).alias("first")).select("first.text_row")
+    rows = df.withColumn("text_row", F.xxhash64(id_column, text_column))
+    chosen = rows.join(first, "text_row").dropDuplicates(["text_row"]).select(*df.columns)
+    return chosen.unionByName(df.filter(F.col(id_column).isNull()))

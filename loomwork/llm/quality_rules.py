@@ -103,7 +103,7 @@ def text_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         repeats = [repeated_words(w) if found else 0 for w, found in zip(documents, may_repeat(documents), strict=True)]
         kinds = {"line_keys": pa.list_(pa.int64()), "line_words": pa.list_(pa.int64())}
         arrays = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()} | {"n_repeat_words": pa.array(repeats, pa.int64())}
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id")} | arrays)
+        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("id", "text_row")} | arrays)
 
 
 def judge_documents(
@@ -116,10 +116,11 @@ def judge_documents(
     left_words: int = LEFT_WORDS,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
-    """Per row: its id, the base counts, base_failed, n_removed_words (in removed lines) and kept."""
+    """Per row: its id, the base counts, base_failed, n_removed_words (in removed lines), kept and text_row, a hash of its
+    id and text."""
     ship(df.sparkSession)
-    rows = columns_of(df, id=id_column, text=text_column, host=host_column)
-    kinds = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, host_key bigint, text_key bigint, line_keys array<bigint>, line_words array<bigint>, n_repeat_words bigint"
+    rows = columns_of(df, id=id_column, text=text_column, host=host_column).withColumn("text_row", F.xxhash64("id", "text", "host"))
+    kinds = "text_row bigint, " + "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, host_key bigint, text_key bigint, line_keys array<bigint>, line_words array<bigint>, n_repeat_words bigint"
     features = rows.mapInArrow(text_features, f"id {rows.schema['id'].dataType.simpleString()}, {kinds}")
     features = checkpointed(features.withColumn("row", F.monotonically_increasing_id()))
 
@@ -147,4 +148,11 @@ def judge_documents(
         base_failed.alias("base_failed"),
         lost_words.alias("n_removed_words"),
         (~base_failed & ~depleted).alias("kept"),
+        "text_row",
     )
+
+
+def kept_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
+    """The rows of ``df`` that are kept, with their columns."""
+    rejected = judge_documents(df, id_column, text_column, host_column, **limits).filter("not kept").select("text_row").distinct()
+    return df.withColumn("text_row", F.xxhash64(id_column, text_column, host_column)).join(rejected, "text_row", "left_anti").drop("text_row")
