@@ -20,7 +20,7 @@ KINDS = {"Int64": T.LongType(), "Float64": T.DoubleType(), "Boolean": T.BooleanT
 def kind_of(cell: Column) -> Column:
     """The kind of a column of cells, as an aggregate: empty cells say nothing, and without others it is String."""
     value = F.when(cell != "", cell)
-    whole = F.bool_and(value.rlike(INTEGER) & F.expr("true") & value.try_cast("bigint").isNotNull())
+    whole = F.bool_and(F.when(value.isNotNull(), value.rlike(INTEGER) & value.try_cast("bigint").isNotNull()))
     return (
         F.when(F.count(value) == 0, "String")
         .when(whole, "Int64")

@@ -136,7 +136,7 @@ def read_arrow(spark: SparkSession, paths: str | list[str], columns: list[str] |
                 for part in found:
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, schema, strict=True)], schema=schema)
 
-    out = files.select("content").mapInArrow(rows, from_arrow_schema(schema))
+    out = files.select("content").mapInArrow(rows, from_arrow_schema(schema, prefer_timestamp_ntz=True))
     return out.select(*columns) if columns else out
 
 
