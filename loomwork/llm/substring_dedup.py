@@ -159,15 +159,14 @@ def emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(others | counts | {"text": batch.column("text")})
 
 
-def repeated_spans(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_spans(rows: DataFrame) -> DataFrame:
     """(row, spans) of the texts with words to remove: spans of windows that start in an earlier document too.
 
-    ``row`` is a hash of a row's id and text; a span is (start, windows): its first word and its number of windows.
+    ``rows`` comes from texts_by_row(). A span is (start, windows): its first word and its number of windows.
     """
-    ship(df.sparkSession)
-    rows = texts_by_row(df, id_column, text_column).filter("id is not null")
+    ship(rows.sparkSession)
     id_kind = rows.schema["id"].dataType.simpleString()
-    edges = rows.mapInArrow(emit_edges, f"id {id_kind}, row bigint, vertex bigint, edge bigint, start bigint, windows bigint")
+    edges = rows.filter("id is not null").mapInArrow(emit_edges, f"id {id_kind}, row bigint, vertex bigint, edge bigint, start bigint, windows bigint")
 
     shared = edges.groupBy("vertex").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("vertex")
     edges = checkpointed(edges.join(shared, "vertex"))
@@ -178,13 +177,15 @@ def repeated_spans(df: DataFrame, id_column: str = "doc_id", text_column: str =
     known = edges.join(firsts.select("vertex", "edge", "first_id"), ["vertex", "edge"])
     whole = known.filter("id > first_id").select("row", "start", "windows")
 
-    # Branching: one occurrence of each edge of such a vertex is opened into its windows.
+    # Branching: one occurrence of each edge of such a vertex is opened into its windows. This join and the caller's
+    # deal the same rows by the same key within one query, so that Spark shuffles the texts once.
     branching = firsts.groupBy("vertex").agg(F.count("*").alias("n"), F.min("first_id").alias("low"), F.max("first_id").alias("high")).filter("n > 1 and low < high")
     opened = firsts.join(branching.select("vertex"), "vertex", "left_semi").groupBy("row").agg(F.collect_list(F.struct("vertex", "edge", "start", "windows")).alias("edges"))
-    windows = rows.dropDuplicates(["row"]).join(opened, "row").select("id", "text", "edges")
-    windows = checkpointed(windows.mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, edge bigint, at bigint, window bigint"))
+    opened = checkpointed(opened)
+    windows = rows.join(opened, "row").select("id", "text", "edges")
+    windows = windows.mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, edge bigint, at bigint, window bigint")
     earliest = windows.groupBy("vertex", "window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("vertex", "window", "low")
-    met = windows.join(earliest, ["vertex", "window"]).filter("id > low").groupBy("vertex", "edge").agg(F.collect_list("at").alias("ats"))
+    met = windows.join(earliest, ["vertex", "window"]).filter("id > low").groupBy("vertex", "edge").agg(F.collect_set("at").alias("ats"))
     parts = known.filter("id = first_id").join(met, ["vertex", "edge"]).select("row", F.explode("ats").alias("at"), "start")
     parts = parts.select("row", (F.col("start") + F.col("at")).alias("start"), F.lit(1).cast("bigint").alias("windows"))
     return whole.unionByName(parts).groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
@@ -197,8 +198,8 @@ def texts_by_row(df: DataFrame, id_column: str, text_column: str, **others: str)
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: its id, text, n_words, n_removed, kept_text (kept words joined by one space) and the columns ``keep``."""
-    spans = repeated_spans(df, id_column, text_column)
-    rows = texts_by_row(df, id_column, text_column, **{f"kept_{c}": c for c in keep or []}).join(spans, "row", "left").drop("row")
+    given = texts_by_row(df, id_column, text_column, **{f"kept_{c}": c for c in keep or []})
+    rows = given.join(repeated_spans(given), "row", "left").drop("row")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "spans"))
     done = rows.mapInArrow(emit_kept, f"{schema}, n_words bigint, n_removed bigint, kept_text string, text string")
     return done.withColumnsRenamed({"id": id_column} | {f"kept_{c}": c for c in keep or []} | {"text": text_column})
