@@ -47,6 +47,8 @@ FREQUENT = 255
 #: Parts of the hash range in the suffix filter.
 PARTS = 16
 KEY_BITS = 40
+#: A column beside those of the documents while rows are chosen.
+ROW = "_ngram_join_row"
 
 
 def lowered_words(text: str | None) -> list[bytes]:
@@ -318,7 +320,7 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
 def one_of_each_group(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each group the row with the least id; rows without an id all stay."""
     groups = similar_groups(df, id_column, text_column)
-    first = groups.filter(F.col(id_column).isNotNull()).groupBy("component_id").agg(F.min(F.struct(id_column, "text_row")).alias("first")).select("first.text_row")
-    rows = df.withColumn("text_row", F.xxhash64(id_column, text_column))
-    chosen = rows.join(first, "text_row").dropDuplicates(["text_row"]).select(*df.columns)
+    first = groups.filter(F.col(id_column).isNotNull()).groupBy("component_id").agg(F.min(F.struct(id_column, "text_row")).alias("first"))
+    rows = df.withColumn(ROW, F.xxhash64(id_column, text_column))
+    chosen = rows.join(first.select(F.col("first.text_row").alias(ROW)), ROW).dropDuplicates([ROW]).select(*df.columns)
     return chosen.unionByName(df.filter(F.col(id_column).isNull()))

@@ -32,6 +32,9 @@ LEFT_SHARE = 0.2
 #: Rows up to which the removed lines are broadcast (16 bytes each).
 BROADCAST_LINES = 500_000
 
+#: A column beside those of the documents while rows are chosen.
+ROW = "_quality_rules_row"
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 WINDOW = 8
@@ -154,5 +157,5 @@ def judge_documents(
 
 def kept_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", **limits) -> DataFrame:
     """The rows of ``df`` that are kept, with their columns."""
-    rejected = judge_documents(df, id_column, text_column, host_column, **limits).filter("not kept").select("text_row").distinct()
-    return df.withColumn("text_row", F.xxhash64(id_column, text_column, host_column)).join(rejected, "text_row", "left_anti").drop("text_row")
+    rejected = judge_documents(df, id_column, text_column, host_column, **limits).filter("not kept").select(F.col("text_row").alias(ROW)).distinct()
+    return df.withColumn(ROW, F.xxhash64(id_column, text_column, host_column)).join(rejected, ROW, "left_anti").drop(ROW)
