@@ -70,7 +70,8 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(n_removed_words AS BIGINT) AS n_removed_words,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_removed_words > 0 AND
-    (n_words - n_removed_words < {quality_rules.LEFT_WORDS} OR n_words - n_removed_words < {quality_rules.LEFT_SHARE} * n_words)) AS kept
+    (n_words - n_removed_words < {quality_rules.LEFT_SHARE} * n_words
+      OR n_words - n_removed_words < {quality_rules.LEFT_WORDS} AND n_words - n_removed_words < n_removed_words)) AS kept
 FROM counted
 """
 

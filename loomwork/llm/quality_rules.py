@@ -26,9 +26,10 @@ from loomwork.session import checkpointed, ship
 LINE_DOCUMENTS = 20
 #: ... and more than this share of the host's distinct texts.
 LINE_SHARE = 0.1
-#: A document is rejected if, after lines were removed, fewer words than this or a smaller share than this is left.
-LEFT_WORDS = 20
+#: A document is rejected if, after lines were removed, a smaller share of its words than this is left, ...
 LEFT_SHARE = 0.2
+#: ... or fewer words than this, and fewer than were removed. A short text with one frequent line stays.
+LEFT_WORDS = 20
 #: Rows up to which the removed lines are broadcast (16 bytes each).
 BROADCAST_LINES = 500_000
 
@@ -140,7 +141,8 @@ def judge_documents(
     n = F.col("n_words")
     lost_words = F.coalesce("lost", F.lit(0))
     base_failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
-    depleted = (lost_words > 0) & ((n - lost_words < left_words) | (n - lost_words < left_share * n))
+    left = n - lost_words
+    depleted = (lost_words > 0) & ((left < left_share * n) | ((left < left_words) & (left < lost_words)))
     return features.join(lost, "row", "left").select(
         F.col("id").alias(id_column),
         "n_words",
