@@ -37,8 +37,17 @@ class Dataset:
         return self.df
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        """Arrow batches, one partition at a time in the driver."""
-        yield from self.df.toArrow().to_batches()
+        """Arrow batches; the driver holds those of one partition at a time."""
+
+        def packed(batches):
+            for batch in batches:
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema) as writer:
+                    writer.write_batch(batch)
+                yield pa.record_batch({"ipc": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+        for row in self.df.mapInArrow(packed, "ipc binary").toLocalIterator():
+            yield from pa.ipc.open_stream(bytes(row.ipc))
 
     def row_count(self) -> int:
         return self.df.count()

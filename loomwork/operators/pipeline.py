@@ -71,6 +71,25 @@ class Chain(Transform):
         return df
 
 
+@dataclass
+class Settings:
+    """What a run is tuned by, as Spark's own settings. Buffers, threads and backpressure are Spark's business: tasks pull
+    batch by batch, and sorts, joins and aggregates spill when their share of memory is used up."""
+
+    batch_rows: int = 10_000
+    partitions: int | None = None
+    split_bytes: int | None = None
+
+    def apply(self, spark: SparkSession) -> None:
+        if self.batch_rows < 1 or (self.partitions or 1) < 1:
+            raise InvalidArgument("sizes are positive")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", self.batch_rows)
+        if self.partitions:
+            spark.conf.set("spark.sql.shuffle.partitions", self.partitions)
+        if self.split_bytes:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", self.split_bytes)
+
+
 @dataclass
 class Statistics:
     """What a run did. Times are the driver's: planning, and the one action."""
@@ -88,10 +107,10 @@ class Cancelled(EngineError):
 class Pipeline:
     """source() -> transform -> sink(DataFrame). The sink runs the one action."""
 
-    def __init__(self, source: Callable[[], DataFrame] | DataFrame, transform: Transform, sink: Callable[[DataFrame], object]):
+    def __init__(self, source: Callable[[], DataFrame] | DataFrame, transform: Transform, sink: Callable[[DataFrame], object], settings: Settings | None = None):
         if not callable(sink):
             raise InvalidArgument("a sink is a function of a DataFrame")
-        self.source, self.transform, self.sink = source, transform, sink
+        self.source, self.transform, self.sink, self.settings = source, transform, sink, settings
         self.tag = f"pipeline-{uuid.uuid4().hex}"
         self.statistics = Statistics()
         self._session: SparkSession | None = None
@@ -104,6 +123,8 @@ class Pipeline:
         began = time.perf_counter()
         df = self.source() if callable(self.source) else self.source
         self._session = df.sparkSession
+        if self.settings is not None:
+            self.settings.apply(self._session)
         before, after = Observation(f"{self.tag}-in"), Observation(f"{self.tag}-out")
         watched = self.transform.apply(df.observe(before, F.count(F.lit(1)).alias("rows"))).observe(after, F.count(F.lit(1)).alias("rows"))
         planned = time.perf_counter()

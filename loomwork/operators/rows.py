@@ -66,7 +66,8 @@ def row_ids(df: DataFrame, order: list[str], name: str = "row_id", parts: int |
     key, bounds = F.struct(*order), key_bounds(df, order, parts)
     kind = df.select(key.alias("key")).schema["key"].dataType
     literals = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind, strict=True))) for b in bounds]
-    part = F.size(F.filter(F.array(*literals), lambda b: b <= key)) if literals else F.lit(0)
+    # No lambda here: Catalyst would carry one over the join on the range as an inferred filter that it can't bind.
+    part = F.greatest(F.lit(0), *(F.when(b <= key, i + 1).otherwise(0) for i, b in enumerate(literals))) if literals else F.lit(0)
     placed = df.withColumn("_part", part)
     numbered = placed.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))

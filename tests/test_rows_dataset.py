@@ -1,4 +1,5 @@
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -6,7 +7,7 @@ from pyspark.sql import types as T
 from loomwork.errors import InvalidArgument, SchemaMismatch
 from loomwork.operators import encoders, relational, rows
 from loomwork.operators.dataset import Dataset, DatasetBuilder
-from loomwork.operators.pipeline import BatchTransform, Cancelled, Chain, Pipeline, Transform
+from loomwork.operators.pipeline import BatchTransform, Cancelled, Chain, Pipeline, Settings, Transform
 from loomwork.operators.predicates import Predicates
 
 
@@ -77,6 +78,12 @@ def test_pipeline(spark, numbers):
         run.run()
     with pytest.raises(InvalidArgument):
         Pipeline(numbers, chain, None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tuned = Pipeline(numbers, BatchTransform(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n bigint"), lambda df: max(r.n for r in df.collect()), Settings(batch_rows=50))
+    assert tuned.run() == 50
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    with pytest.raises(InvalidArgument):
+        Settings(batch_rows=0).apply(spark)
 
 
 def test_encoders(spark):

@@ -50,3 +50,22 @@ def test_checked(spark):
             K.checked(spark.createDataFrame([row], kind), schema).collect()
     with pytest.raises(SchemaMismatch):
         K.checked(spark.range(1), schema)
+
+
+def test_schemas_survive_files(spark, tmp_path):
+    """Names, number and types of columns come back from Parquet and from Arrow."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+    schema = K.Schema([K.Field("id", K.simple("int32"), False), K.Field("name", K.simple("string")), K.Field("value", K.simple("float64"), False), K.Field("valid", K.simple("boolean"))])
+    df = spark.createDataFrame([(1, "a", 1.5, None)], schema.spark())
+    df.write.parquet(str(tmp_path / "p"))
+    back = K.schema_of(spark.read.parquet(str(tmp_path / "p")))
+    assert back.names == schema.names and [f.kind for f in back.fields] == [f.kind for f in schema.fields]
+    arrow = to_arrow_schema(schema.spark())
+    assert arrow.field("id").type == pa.int32() and not arrow.field("id").nullable and [f.dataType for f in from_arrow_schema(arrow)] == [f.dataType for f in schema.spark()]
+    kinds = [K.list_of(K.simple("int8")), K.map_of(K.simple("string"), K.decimal(10, 2)), K.struct_of(a=K.simple("date32"), b=K.timestamp("us")), K.simple("uint64"), K.timestamp("us", "UTC"), K.extension_of("x", K.simple("binary"), b"p"), K.dictionary_of(K.simple("int8"), K.simple("string"))]
+    wide = K.Schema([K.Field(f"c{i}", k) for i, k in enumerate(kinds)])
+    spark.createDataFrame([tuple([None] * len(kinds))], wide.spark()).write.parquet(str(tmp_path / "w"))
+    again = spark.read.parquet(str(tmp_path / "w"))
+    assert [f.dataType for f in again.schema] == [f.dataType for f in wide.spark()] and again.schema["c3"].metadata["kind"] == "uint64"
