@@ -166,10 +166,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """
     ship(rows.sparkSession)
     id_kind = rows.schema["id"].dataType.simpleString()
-    edges = rows.filter("id is not null").mapInArrow(emit_edges, f"id {id_kind}, row bigint, vertex bigint, edge bigint, start bigint, windows bigint")
+    edges = rows.select("id", "text", "row").filter("id is not null").mapInArrow(emit_edges, f"id {id_kind}, row bigint, vertex bigint, edge bigint, start bigint, windows bigint")
 
+    # The joins below get both sides by shuffles of their own, not by an aggregate's, so that hot vertices can be split.
     shared = edges.groupBy("vertex").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("vertex")
-    edges = checkpointed(edges.join(shared, "vertex"))
+    edges = checkpointed(edges.join(checkpointed(shared), "vertex"))
 
     # Nonbranching: an occurrence of an edge after its first document is repeated whole.
     firsts = edges.groupBy("vertex", "edge").agg(F.min(F.struct("id", "row", "start", "windows")).alias("first"))
@@ -178,14 +179,13 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     whole = known.filter("id > first_id").select("row", "start", "windows")
 
     # Branching: one occurrence of each edge of such a vertex is opened into its windows. This join and the caller's
-    # deal the same rows by the same key within one query, so that Spark shuffles the texts once.
+    # deal the same columns by the same key within one query, so that Spark shuffles the texts once.
     branching = firsts.groupBy("vertex").agg(F.count("*").alias("n"), F.min("first_id").alias("low"), F.max("first_id").alias("high")).filter("n > 1 and low < high")
     opened = firsts.join(branching.select("vertex"), "vertex", "left_semi").groupBy("row").agg(F.collect_list(F.struct("vertex", "edge", "start", "windows")).alias("edges"))
     opened = checkpointed(opened)
-    windows = rows.join(opened, "row").select("id", "text", "edges")
-    windows = windows.mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, edge bigint, at bigint, window bigint")
+    windows = rows.join(opened, "row").mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, edge bigint, at bigint, window bigint")
     earliest = windows.groupBy("vertex", "window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("vertex", "window", "low")
-    met = windows.join(earliest, ["vertex", "window"]).filter("id > low").groupBy("vertex", "edge").agg(F.collect_set("at").alias("ats"))
+    met = windows.join(earliest.repartition("window"), ["vertex", "window"]).filter("id > low").groupBy("vertex", "edge").agg(F.collect_set("at").alias("ats"))
     parts = known.filter("id = first_id").join(met, ["vertex", "edge"]).select("row", F.explode("ats").alias("at"), "start")
     parts = parts.select("row", (F.col("start") + F.col("at")).alias("start"), F.lit(1).cast("bigint").alias("windows"))
     return whole.unionByName(parts).groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
