@@ -40,7 +40,7 @@ SHINGLE = 5
 #: Least similarity in hundredths: 100 * shared >= 80 * all.
 SIMILARITY = 80
 #: Shingles that one partition counts at a time, which bounds a worker's memory, and the least number of partitions.
-PARTITION_SHINGLES = 3_000_000
+PARTITION_SHINGLES = 1_500_000
 LEAST_PARTITIONS = 64
 #: Frequencies from here on rank alike, and a batch sends a shingle of so many of its classes only once.
 FREQUENT = 255
@@ -121,7 +121,7 @@ def emit_dealt(partitions: int):
     """The shingles of each batch's classes, dealt to partitions; frequent ones apart, under a group that only forwards."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=16_000_000):
+        for batch in slices(batches, limit=6_000_000):
             documents: dict[int, list[bytes]] = {}
             for text in batch.column("text").to_pylist():
                 if words := lowered_words(text):
