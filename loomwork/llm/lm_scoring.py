@@ -6,8 +6,9 @@ collisions touch them alike. The chance of a word is its bigram count, smoothed
 (c(v, w) + m p(w)) / (c(v) + m). A document's score is its mean loss per token under the target model less that under
 the background model; the lower, the more it reads like the target.
 
-Counting covers all rows. Workers add up their batches before a shuffle; the models' size is bounded by VOCABULARY and
-BUCKETS alone (16 bytes each), so they are broadcast. Scoring is one more scan without a shuffle.
+Counting covers all rows; telling the target texts apart shuffles the texts once. Workers add up their batches before
+their counts are shuffled. The models' size is bounded by VOCABULARY and BUCKETS alone (16 bytes each), so they are
+broadcast. Scoring is one more scan without a shuffle.
 
 Defined cases: a null or wordless text has 0 tokens and null losses; null ids are background alone; an id that repeats
 among the targets counts once; without target documents the target model is uniform; an empty table gives no rows.
@@ -150,7 +151,8 @@ def score_documents(df: DataFrame, targets: DataFrame, id_column: str = "doc_id"
     vocabulary = spark.sparkContext.broadcast(words)
 
     chosen = columns_of(targets, id=target_column).filter("id is not null").distinct().withColumn("target", F.lit(True))
-    told = rows.join(chosen, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # Merged at every size: the ids grow with the corpus, and a plan that broadcasts few of them would not show it.
+    told = rows.join(chosen.hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counted = told.mapInArrow(emit_counts(vocabulary), "at bigint, target bigint, background bigint")
     table = counted.groupBy("at").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
     counts = np.zeros((2, BUCKETS + 2 * (len(words) + 2)))
