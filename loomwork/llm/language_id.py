@@ -59,11 +59,18 @@ def letters_of(word: bytes) -> str:
 
 
 def features(word: str) -> list[int]:
-    """Places in the table of a word's affix, n-gram and identity features, before lexicons."""
-    framed = f"^{word}$"
-    found = [f"p{word[:k]}" for k in (1, 2, 3) if len(word) >= k] + [f"s{word[-k:]}" for k in (1, 2, 3) if len(word) >= k] + [f"w{word}"]
-    found += [framed[i : i + k] for k in (2, 3) for i in range(len(framed) - k + 1)]
-    return [zlib.crc32(f.encode()) % TABLE for f in found]
+    """Places in the table of a word's affix, identity and n-gram features, before lexicons.
+
+    Letters are cut as the two bytes of UTF-16; each sort of feature starts its checksum from a number of its own.
+    """
+    framed = f"^{word}$".encode("utf-16-le")
+    inner, crc = framed[2:-2], zlib.crc32
+    found = [crc(inner, 7)]
+    found += [crc(inner[:k], 1) for k in (2, 4, 6)[: len(inner) // 2]]
+    found += [crc(inner[-k:], 2) for k in (2, 4, 6)[: len(inner) // 2]]
+    found += [crc(framed[i : i + 4], 3) for i in range(0, len(framed) - 3, 2)]
+    found += [crc(framed[i : i + 6], 4) for i in range(0, len(framed) - 5, 2)]
+    return [f % TABLE for f in found]
 
 
 def lexicon_place(language: int) -> int:
