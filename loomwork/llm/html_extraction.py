@@ -2,17 +2,20 @@
 
 Every page is parsed into elements, each named by the path of tags and classes that leads to it. Merging the pages of
 a host by path gives its style tree. An element's presentation is the sequence of its children's names, its content the
-text under it. Over the m pages of the host that have the element, its presentation importance is the entropy of the
-presentations to the base m, and its content importance one minus the mean of log_m(c) over its distinct contents, with
-c the number of pages that share one: 0 if all pages read alike, 1 if each reads differently. With l children the two
-combine as (1 - g^l) presentation + g^l content. Branches of low importance are removed from each page.
+text that stands in it outside of children. Over the m pages of the host that have the element, its presentation
+importance is the entropy of the presentations to the base m. The content importance is one minus the mean of log_m(c)
+over the distinct contents, with m the pages that have any and c the number of them that share one: 0 if all pages read
+alike, 1 if each reads differently. With l children the composite importance is (1 - g^l) presentation + g^l below, where
+below is the mean composite importance of the children, own text counting as a child of its content importance. An
+element is low if it and all elements and texts under it are judged and of low importance; low branches are removed from each page.
+An element that holds an article is never low.
 
 The tree needs several pages of a host to speak, so elements that menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments are written as are removed on every page. Where a page marks its article, the text
 comes from it, and only containers inside it can be removed for low importance, not its headings and paragraphs.
 
-The first scan emits a few integers for each path of a page; a hot host is pre-aggregated by path and content before
-the shuffle. The low branches of all hosts are broadcast if they are few, or else joined to the pages by host.
+The first scan emits a few numbers for each path of a page; a hot host is pre-aggregated by path and content before
+the shuffle, and importance rises by levels of the tree in joins on host and path. The low branches of all hosts are broadcast if they are few, or else joined to the pages by host.
 
 Defined cases: null or empty html gives an empty text; a page without a host is a host of its own kind; unclosed,
 misnested or cut markup closes with the page; rows that repeat are extracted each; an empty table gives no rows.
@@ -68,14 +71,25 @@ NAME_WORD = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 
 
 class Element:
-    __slots__ = ("article", "children", "dropped", "label", "main", "path", "start", "tag")
+    __slots__ = ("article", "children", "dropped", "label", "main", "own", "path", "tag")
 
-    def __init__(self, tag: str, label: str, path: str, start: int, dropped: bool, article: bool, main: bool):
-        self.tag, self.label, self.path, self.start = tag, label, path, start
+    def __init__(self, tag: str, label: str, path: str, own: list[str], dropped: bool, article: bool, main: bool):
+        self.tag, self.label, self.path, self.own = tag, label, path, own
         self.dropped, self.article, self.main = dropped, article, main
         self.children: list[str] = []
 
 
+class Node:
+    """What one page says of a path: hashes of presentation and of own text, children, occurrences, and if it is an article."""
+
+    __slots__ = ("article", "children", "content", "depth", "parent", "presentation", "times")
+
+    def __init__(self, parent: str, depth: int):
+        self.parent, self.depth = parent, depth
+        self.presentation = self.content = self.children = self.times = 0
+        self.article = False
+
+
 class Page:
     """One parsed page: pieces of text with where they stand, and the elements of the style tree."""
 
@@ -85,8 +99,8 @@ class Page:
         self.pieces: list[str] = []
         self.places: list[int] = []
         self.has_article = self.has_main = False
-        self.elements: dict[str, list[int]] = {}
-        self.stack = [Element("", "", "", 0, False, False, False)]
+        self.elements: dict[str, Node] = {}
+        self.stack = [Element("", "", "", [], False, False, False)]
         self.parse(markup)
         while len(self.stack) > 1:
             self.close()
@@ -99,6 +113,8 @@ class Page:
     def add(self, piece: str) -> None:
         top = self.stack[-1]
         self.pieces.append(piece)
+        if self.tree:
+            top.own.append(piece)
         self.places.append(0 if top.dropped else 3 if top.article else 2 if top.main else 1)
 
     def parse(self, markup: str) -> None:
@@ -160,8 +176,10 @@ class Page:
         if not dropped:
             self.has_article |= tag == "article"
             self.has_main |= main and not parent.main
-        parent.children.append(label)
-        self.stack.append(Element(tag, label, path, len(self.pieces), dropped, article, main))
+        deeper = path == parent.path
+        if not deeper:
+            parent.children.append(label)
+        self.stack.append(Element(tag, label, path, parent.own if deeper else [], dropped, article, main))
         return at
 
     def close_open(self, tags: set[str]) -> None:
@@ -185,30 +203,52 @@ class Page:
 
     def close(self) -> None:
         element = self.stack.pop()
-        if self.tree and element.path != self.stack[-1].path:
-            text = " ".join("".join(self.pieces[element.start :]).split())
-            mine = self.elements.setdefault(element.path, [0, 0, 0])
-            mine[0] = xxhash.xxh3_64_intdigest(",".join(element.children), seed=mine[0])
-            mine[1] = xxhash.xxh3_64_intdigest(text, seed=mine[1])
-            mine[2] += len(element.children)
+        parent = self.stack[-1].path
+        if self.tree and element.path != parent:
+            text = " ".join("".join(element.own).split())
+            mine = self.elements.get(element.path) or self.elements.setdefault(element.path, Node(parent, len(self.stack)))
+            mine.presentation = xxhash.xxh3_64_intdigest(",".join(element.children), seed=mine.presentation)
+            if text:
+                mine.content = xxhash.xxh3_64_intdigest(text, seed=mine.content)
+            mine.children += len(element.children)
+            mine.times += 1
+            mine.article |= element.tag == "article" and not element.dropped
 
 
 def path_key(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
 
+ELEMENT = "host string, path bigint, parent bigint, depth int, presentation bigint, content bigint, children bigint, share double, own_share double, article boolean"
+ELEMENT_TYPES = {"host": pa.string(), "depth": pa.int32(), "share": pa.float64(), "own_share": pa.float64(), "article": pa.bool_()}
+
+
 def emit_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's paths with hashes of presentation and content, and the number of children."""
+    """Each page's paths with hashes of presentation and content (null without text of its own, if there are children),
+    the number of children, and the shares of the element in its parent and of its own text in itself."""
+    names = [column.split()[0] for column in ELEMENT.split(", ")]
     for batch in slices(batches, "html"):
-        rows: dict[str, list] = {k: [] for k in ("host", "path", "presentation", "content", "children")}
+        rows: dict[str, list] = {k: [] for k in names}
         for host, markup in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for path, (presentation, content, children) in Page(markup or "", tree=True).elements.items():
-                rows["host"].append(host)
-                rows["path"].append(path_key(path))
-                rows["presentation"].append(presentation - (1 << 63))
-                rows["content"].append(content - (1 << 63))
-                rows["children"].append(children)
-        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "host" else pa.int64()) for k, v in rows.items()})
+            elements = Page(markup or "", tree=True).elements
+            for path, node in elements.items():
+                own = node.content != 0 or node.children == 0
+                above = elements.get(node.parent)
+                values = (
+                    host,
+                    path_key(path),
+                    path_key(node.parent),
+                    node.depth,
+                    node.presentation - (1 << 63),
+                    node.content - (1 << 63) if own else None,
+                    node.children,
+                    node.times / (above.children + (above.content != 0)) if above else 1.0,
+                    1 / (node.children + 1) if own else 0.0,
+                    node.article,
+                )
+                for name, value in zip(names, values, strict=True):
+                    rows[name].append(value)
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, ELEMENT_TYPES.get(k, pa.int64())) for k, v in rows.items()})
 
 
 def emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,29 +263,52 @@ def emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def element_importance(elements: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the style tree's elements, from the pages' paths."""
+    """(host, path, pages, importance, highest) of the style tree's elements, from the pages' paths: the composite
+    importance, and the highest one of the element and all under it, null where one of them can't be low."""
 
-    def shares(column: str) -> DataFrame:
-        return elements.groupBy("host", "path", column).agg(F.count("*").alias("c"), F.sum("children").alias("children"))
+    def shares(*columns: str) -> DataFrame:
+        sums = (F.sum(c).alias(c) for c in ("children", "share", "own_share"))
+        return elements.groupBy("host", "path", *columns).agg(F.count("*").alias("c"), *sums, F.max("article").alias("article"), F.first("parent").alias("parent"), F.first("depth").alias("depth"))
 
     base = F.log(F.sum("c"))
     looks = shares("presentation").groupBy("host", "path").agg(
+        F.first("parent").alias("parent"),
+        F.first("depth").alias("depth"),
         F.sum("c").alias("pages"),
-        F.sum("children").alias("children"),
+        *(F.sum(c).alias(c) for c in ("children", "share", "own_share")),
+        F.max("article").alias("article"),
         F.when(F.sum("c") > 1, (F.sum("c") * base - F.sum(F.col("c") * F.log("c"))) / (F.sum("c") * base)).otherwise(1.0).alias("presentation"),
     )
-    contents = shares("content").groupBy("host", "path").agg(F.when(F.sum("c") > 1, 1 - F.avg(F.log("c")) / base).otherwise(1.0).alias("content"))
+    texts = elements.filter("content is not null").groupBy("host", "path", "content").agg(F.count("*").alias("c"))
+    contents = texts.groupBy("host", "path").agg(F.sum("c").alias("texts"), F.when(F.sum("c") > 1, 1 - F.avg(F.log("c")) / base).otherwise(1.0).alias("content"))
+    nodes = checkpointed(looks.join(contents, ["host", "path"], "left"))
+
+    # From the deepest level up: children pass their importance, weighted by their share, to the parent.
     weight = F.pow(F.lit(DECAY), F.col("children") / F.col("pages"))
-    return looks.join(contents, ["host", "path"]).select("host", "path", "pages", ((1 - weight) * F.col("presentation") + weight * F.col("content")).alias("importance"))
+    below = (F.coalesce("passed", F.lit(0.0)) + F.col("own_share") * F.coalesce("content", F.lit(0.0))) / F.col("pages")
+    kept = F.col("article") | (F.col("pages") < LEAST_PAGES) | F.coalesce(F.col("texts") < LEAST_PAGES, F.lit(False)) | F.coalesce("kept_below", F.lit(False))
+    judged = passed = None
+    for depth in range(nodes.agg(F.max("depth")).first()[0] or 1, 0, -1):
+        level = nodes.filter(F.col("depth") == depth)
+        if passed is None:
+            level = level.withColumns({"passed": F.lit(0.0), "high_below": F.lit(0.0), "kept_below": F.lit(False)})
+        else:
+            level = level.join(passed, ["host", "path"], "left")
+        level = level.withColumn("importance", (1 - weight) * F.col("presentation") + weight * below)
+        level = checkpointed(level.select("host", "path", "parent", "pages", "share", "importance", F.greatest("importance", "content", "high_below").alias("high"), kept.alias("kept")))
+        passed = level.groupBy("host", F.col("parent").alias("path")).agg(F.sum(F.col("share") * F.col("importance")).alias("passed"), F.max("high").alias("high_below"), F.max("kept").alias("kept_below"))
+        found = level.select("host", "path", "pages", "importance", F.when(~F.col("kept"), F.col("high")).alias("highest"))
+        judged = found if judged is None else judged.unionByName(found)
+    return judged
 
 
 def extract_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Per row: its id, url, text and n_chars (code points)."""
     ship(pages.sparkSession)
     rows = columns_of(pages, id=id_column, url=url_column, html=html_column).withColumn("host", host_and_path(F.col("url"))[0])
-    elements = rows.select("host", "html").mapInArrow(emit_elements, "host string, path bigint, presentation bigint, content bigint, children bigint")
+    elements = rows.select("host", "html").mapInArrow(emit_elements, ELEMENT)
     judged = element_importance(checkpointed(elements))
-    low = judged.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    low = judged.filter(F.col("highest") < LEAST_IMPORTANCE)
     low = checkpointed(low.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("low")))
     if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_BRANCHES:
         low = F.broadcast(low)

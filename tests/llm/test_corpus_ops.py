@@ -280,6 +280,21 @@ def test_style_tree(spark, monkeypatch):
         assert found == {i: f"story {i} of many words more {i * 7}" for i in range(12)} | {100 + i: f"text {i}" for i in range(12)} | {200 + i: "Welcome to our site" for i in range(3)}
 
 
+def test_style_tree_keeps_containers_of_content(spark):
+    """A fixed layout of many children isn't low where what stands under it differs, whatever the number of levels."""
+
+    def layout(i):
+        blocks = "".join(f"<section class=s{k}><div><p>part {k} of page {i}</p></div></section>" for k in range(4))
+        return page(f"<a class=s9>go</a><header>h</header><nav>n</nav><div class=adv>a</div><main>{blocks}<div class=z>terms of use</div></main><aside>s</aside><footer>f</footer><div class=n1>all alike</div>")
+
+    rows = [(i, f"http://wide.org/{i}", layout(i)) for i in range(10)]
+    rows += [(100 + i, f"http://plain.org/{i}", page("".join(f"<div class=b{k}>{k} fixed</div>" for k in range(9)) + f"own text {i}")) for i in range(10)]
+    rows += [(200 + i, f"http://same.org/{i}", page("<p>x</p>" * 8 + "<article><h1>One</h1><p>story</p></article>")) for i in range(10)]
+    found = {r.page_id: r.text for r in html_extraction.extract_texts(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    expected = {i: " ".join(f"part {k} of page {i}" for k in range(4)) for i in range(10)}
+    assert found == expected | {100 + i: f"own text {i}" for i in range(10)} | {200 + i: "One story" for i in range(10)}
+
+
 # Pipeline.
 
 
