@@ -13,7 +13,7 @@ each class against one hub of its prefix shingles, the class with the fewest sin
 remaining pairs whose classes are not yet connected. No pair of unconnected classes is left out.
 
 Skew: a shingle that many classes of one batch share is not dealt by class; the batch sends it once, marked frequent,
-and the classes' own copies travel by batch. Frequencies from FREQUENT up rank alike, whichever way they were learned.
+to its partition, and the classes' own copies travel by batch. Frequencies from FREQUENT up rank alike, whichever way they were learned.
 
 Defined cases: a null or wordless text has no shingles and is its own component; texts under five words are one shingle;
 rows that share an id are one node; a null id takes the component of its class (null if all are null); an empty table
@@ -151,6 +151,9 @@ def emit_dealt(partitions: int):
                     packed = packed_runs(classes[owner[mine]], n[owner[mine]], key[mine])
                     known = b"" if apart else pack(frequent[frequent_part == p])
                     rows.append({"g": salt if apart else p, "p": p, **packed, "frequent": known})
+            none = {k: b"" for k in ("classes", "ns", "counts", "keys")}
+            for p in np.setdiff1d(frequent_part, part[~is_frequent]).tolist():  # marks reach partitions without other entries too
+                rows.append({"g": p, "p": p, **none, "frequent": pack(frequent[frequent_part == p])})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("g", pa.int32()), ("p", pa.int32()), *((k, pa.binary()) for k in ("classes", "ns", "counts", "keys", "frequent"))]))
 
     return emit

@@ -83,6 +83,21 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert found == brute_groups(rows)
 
 
+def test_marks_of_frequent_shingles_reach_all_partitions(spark, monkeypatch):
+    """A batch of near copies with fewer rare shingles than partitions, and a copy in a batch of its own."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 5)
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{base} tail{i}") for i in range(8)] + [(100, f"{base} other")]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 8)
+    try:
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    finally:
+        spark.conf.set(batch, before)
+    assert found == brute_groups(rows) and found[100][1] == 0
+
+
 def test_ngram_edges(spark):
     df = with_extra(spark.createDataFrame([(None, "a b c d e f"), (4, "A b c d  e f"), (4, "A b c d  e f"), (2, None), (3, ""), (9, "x y"), (8, "X\ty"), (None, "lonely text")], "doc_id long, text string"))
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect()), key=str)
