@@ -2,8 +2,8 @@
 
 Texts are lower-cased and cut into words of letters and digits. A document's windows that can match an item hold some
 of its five-word shingles, so the shingles of all texts meet those of the benchmark first; a document and item that
-share fewer shingles than the similarity needs are dropped. Around what is left, windows as long as the item are laid
-at every start that the similarity allows. Their 64-bit SimHashes meet the items' in an equi-join on (length, block,
+share fewer shingles than the similarity needs are dropped. Over what is left, windows as long as the item are laid
+at every start that has enough shared shingles inside, in whatever order; a text shorter than the item is one window. Their 64-bit SimHashes meet the items' in an equi-join on (length, block,
 bits): 64 bits in ``radius + 1`` blocks, so that fingerprints within the radius agree in one block at least. Each pair
 within the radius is verified once by the exact weighted similarity: shingles weigh as often as they occur, the sum of
 the smaller weights over the sum of the larger ones.
@@ -111,32 +111,35 @@ def find_leaks(
     hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
     hashed = texts.select("row", hashes.alias("hashes"))
 
-    # Shingles of all texts that the benchmark has, with the place in the item.
-    places = items.select("item", "length", F.size("shingles").alias("m"), F.posexplode("shingles").alias("place", "shingle"))
+    # Shingles of all texts that the benchmark has.
+    places = items.select("item", "length", F.size("shingles").alias("m"), F.explode(F.array_distinct("shingles")).alias("shingle"))
     found = None
     for k in lengths:
         at = hashed.select("row", F.size("hashes").alias("n_words"), F.posexplode(shingle_hashes(F.col("hashes"), k)).alias("at", "shingle"))
         part = at.join(small(places.filter(F.col("length") == k) if k < SHINGLE else places.filter(F.col("length") >= k)), "shingle")
         found = part if found is None else found.unionByName(part)
-    found = found.select("row", "item", "length", "m", "n_words", "at", "place")
-
-    # A window that is similar enough shares so many of the item's shingles, each at most the rest away from its place.
-    need = least_shared(F.col("m"), F.col("m"), similarity)
-    near = found.groupBy("row", "item", "length", "m", "n_words").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
-    near = near.filter(F.size(F.array_distinct(F.transform("hits", lambda h: h["at"]))) >= need)
-    slack = F.col("m") - need
-    around = F.transform("hits", lambda h: F.transform(F.sequence(-slack, slack), lambda s: h["at"] - h["place"] + s))
-    starts = F.filter(F.array_distinct(F.flatten(around)), lambda s: (s >= 0) & (s + F.col("length") <= F.col("n_words")))
+    found = found.select("row", "item", "length", "m", "n_words", "at")
+
+    # A window that is similar enough has so many shared shingles: with i the first of them, it starts at i or before, and
+    # early enough to reach the last one needed. A text shorter than the item is a window of all its shingles.
+    inside = F.when(F.col("n_words") < F.col("length"), F.col("n_words") - (SHINGLE - 1)).otherwise(F.col("m"))
+    near = found.groupBy("row", "item", "length", "m", "n_words").agg(F.array_sort(F.collect_set("at")).alias("hits"))
+    near = near.withColumn("need", least_shared(F.col("m"), inside, similarity)).filter(F.size("hits") >= F.col("need"))
+    first = F.slice("hits", F.lit(1), F.size("hits") - F.col("need") + 1)
+    laid = F.transform(first, lambda at, i: F.struct(at.alias("until"), (F.element_at("hits", i + F.col("need")) - F.col("m") + 1).alias("from")))
+    laid = F.transform(F.filter(laid, lambda w: w["from"] <= w["until"]), lambda w: F.sequence(w["from"], w["until"]))
+    starts = F.filter(F.array_distinct(F.flatten(laid)), lambda s: (s >= 0) & (s + F.col("length") <= F.col("n_words")))
+    starts = F.when(F.col("n_words") < F.col("length"), F.array(F.lit(0))).otherwise(starts)
     spans = near.select("row", "length", F.explode(starts).alias("start")).distinct()
     spans = checkpointed(spans.groupBy("row").agg(F.collect_list(F.struct("length", "start")).alias("spans")))
 
     # Windows as long as an item, with their shingles and fingerprint.
     opened = texts.join(spans, "row").dropDuplicates(["row"]).select("id", "row", hashes.alias("hashes"), "spans")
     grams = F.array(*(shingle_hashes(F.col("hashes"), k) for k in lengths))
-    opened = opened.select("id", "row", grams.alias("grams"), F.explode("spans").alias("span"))
+    opened = opened.select("id", "row", "hashes", grams.alias("grams"), F.explode("spans").alias("span"))
     width = F.least(F.col("span.length"), F.lit(SHINGLE))
     gram = F.element_at("grams", F.array_position(F.array(*map(F.lit, lengths)), width).cast("int"))
-    windows = opened.select("id", "row", F.col("span.length").alias("length"), F.col("span.start").alias("start"), F.slice(gram, F.col("span.start") + 1, F.col("span.length") - width + 1).alias("shingles"))
+    windows = opened.select("id", "row", F.col("span.length").alias("length"), F.col("span.start").alias("start"), F.least("span.length", F.size("hashes")).alias("n_words"), F.slice(gram, F.col("span.start") + 1, F.col("span.length") - width + 1).alias("shingles"))
     windows = checkpointed(windows.withColumn("print", simhash(F.col("shingles"))))
 
     marked = items.withColumn("item_print", simhash(F.col("shingles")))
@@ -147,17 +150,17 @@ def find_leaks(
     pairs = pairs.select("id", "row", "length", "start", "item").distinct()
 
     # Each pair once: the exact similarity of bags.
-    both = pairs.join(windows.select("row", "length", "start", "shingles"), ["row", "length", "start"])
+    both = pairs.join(windows.select("row", "length", "start", "n_words", "shingles"), ["row", "length", "start"])
     both = both.join(small(marked.select("item", F.col("shingles").alias("item_shingles"))), "item")
     shared = F.size(F.array_intersect(numbered(F.col("shingles")), numbered(F.col("item_shingles"))))
     scored = both.withColumn("shared", shared).withColumn("all", F.size("shingles") + F.size("item_shingles") - F.col("shared"))
     scored = scored.filter(100 * F.col("shared") >= similarity * F.col("all"))
-    best = scored.groupBy("id", "item").agg(F.max(F.struct((F.col("shared") / F.col("all")).alias("similarity"), (-F.col("start")).alias("from"), "length", "shared", "all")).alias("best"))
+    best = scored.groupBy("id", "item").agg(F.max(F.struct((F.col("shared") / F.col("all")).alias("similarity"), (-F.col("start")).alias("from"), "n_words", "shared", "all")).alias("best"))
     return best.select(
         F.col("id").alias(id_column),
         F.col("item").alias(item_id_column),
         (-F.col("best.from")).cast("bigint").alias("start_word"),
-        F.col("best.length").cast("bigint").alias("n_words"),
+        F.col("best.n_words").cast("bigint").alias("n_words"),
         F.col("best.shared").cast("bigint").alias("shared_weight"),
         F.col("best.all").cast("bigint").alias("total_weight"),
     )

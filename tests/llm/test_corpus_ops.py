@@ -183,6 +183,16 @@ def test_decontamination_recall(spark):
     assert found == truth and len(truth) > 100
 
 
+def test_short_texts_and_other_orders_are_found(spark):
+    """A text that is an item less a few words, and items whose parts stand in another order."""
+    item = [f"i{k}" for k in range(59)]
+    body = [f"n{k}" for k in range(90)]
+    texts = [item[:58], item[3:], item[:48], item[30:] + item[:30], body[:40] + item[29:] + item[:29] + body[40:], body[:9] + item + body[9:], item[:30]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: tuple(r)[2:] for r in decontamination.find_leaks(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert found == {0: (0, 58, 54, 55), 1: (0, 56, 52, 55), 2: (0, 48, 44, 55), 3: (0, 59, 51, 59), 4: (40, 59, 51, 59), 5: (9, 59, 55, 55)}
+
+
 def test_decontamination_edges(spark):
     df = with_extra(spark.createDataFrame([(1, "One, two! THREE four five six."), (1, "One, two! THREE four five six."), (None, "one two three four five six"), (2, None), (3, "")], "doc_id long, text string"))
     benchmark = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, "nothing"), (4, None), (5, "--")], "item_id long, text string")
