@@ -238,6 +238,31 @@ FROM texts t LEFT JOIN sizes z USING (doc_id) JOIN (SELECT x AS doc_id, min(y) A
 """
 
 
+@query
+def op2_ngram_links(spark, folder):
+    return ngram_join.document_links(load_table(spark, folder, "documents"))
+
+
+ORACLE["op2_ngram_links"] = f"""
+WITH texts AS (
+  SELECT doc_id, {SQL_WORDS.format(SQL_LOWER.format("text"))} AS ws FROM documents
+), classes AS (
+  SELECT min(doc_id) AS class_id, ws FROM texts WHERE len(ws) > 0 GROUP BY ws
+), shingles AS (
+  SELECT DISTINCT class_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s
+  FROM (SELECT class_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM classes)
+), sizes AS (
+  SELECT class_id, count(*) AS n FROM shingles GROUP BY class_id
+), shared AS (
+  SELECT a.class_id AS x, b.class_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.class_id <> b.class_id GROUP BY 1, 2
+), links AS (
+  SELECT x, count(*) AS n FROM shared s JOIN sizes a ON a.class_id = s.x JOIN sizes b ON b.class_id = s.y WHERE 100 * s.n >= 80 * (a.n + b.n - s.n) GROUP BY x
+)
+SELECT t.doc_id, coalesce(c.class_id, t.doc_id) AS class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM texts t LEFT JOIN classes c ON c.ws = t.ws LEFT JOIN links l ON l.x = c.class_id
+"""
+
+
 @query
 def op9_lm_scoring(spark, folder):
     """The target model learns from documents labelled good and not toxic."""

@@ -10,7 +10,10 @@ hash range, singletons excluded). Each pair is verified once, by the intersectio
 
 A group of n near copies has about n * n pairs, of which connecting the group needs few. So the first round verifies
 each class against one hub of its prefix shingles, the class with the fewest singletons; the second round verifies all
-remaining pairs whose classes are not yet connected. No pair of unconnected classes is left out.
+remaining pairs whose classes are not yet connected. No pair of unconnected classes is left out. So every link lies inside
+a component, and ``class_pairs`` and ``document_links`` compare all pairs of each component once: its classes are cut into
+cells by size and hash, and each two cells that the length filter allows are one task, which counts shared shingles
+exactly. The number of links of a class is summed over tasks, so that no row is made for each pair unless pairs are asked.
 
 Skew: a shingle that many classes of one batch share is not dealt by class; the batch sends it once, marked frequent,
 to its partition, and the classes' own copies travel by batch. Frequencies from FREQUENT up rank alike, whichever way they were learned.
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import columns_of, slices
@@ -47,6 +50,11 @@ FREQUENT = 255
 #: Parts of the hash range in the suffix filter.
 PARTS = 16
 KEY_BITS = 40
+#: Classes, and shingles of them, that a cell of a component has about.
+CELL_CLASSES = 1000
+CELL_SHINGLES = 1_000_000
+#: Sizes of classes in one bucket differ by less than this factor: similar ones are in the same bucket or in the next.
+BUCKET = 1.3
 #: A column beside those of the documents while rows are chosen.
 ROW = "_ngram_join_row"
 
@@ -296,9 +304,108 @@ def class_links(kept: DataFrame) -> DataFrame:
     return links.unionByName(verified(checkpointed(pairs), kept))
 
 
-def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: its id, n_shingles, component_id, the least id that links reach (its own included), and text_row, a hash of
-    its id and text."""
+def shared_counts(ak: np.ndarray, ai: np.ndarray, bk: np.ndarray, bi: np.ndarray, n: int, m: int) -> np.ndarray:
+    """For n sets and m sets, given as keys and the sets that have them, the keys that each two share."""
+    shared = np.zeros(n * m, np.int64)
+    both = np.intersect1d(ak, bk)
+    if not len(both):
+        return shared.reshape(n, m)
+
+    def placed(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, keys), len(both) - 1)
+        known = np.flatnonzero(both[at] == keys)
+        order = known[np.argsort(at[known], kind="stable")]
+        counts = np.bincount(at[order], minlength=len(both))
+        return at[order], sets[order], np.cumsum(counts) - counts, counts
+
+    (at, ai, astart, acount), (bt, bi, bstart, bcount) = placed(ak, ai), placed(bk, bi)
+    dense = acount * bcount * 64 >= n * m
+    often = np.flatnonzero(dense)
+    for s in range(0, len(often), 2048):
+        column = np.full(len(both), -1)
+        column[often[s : s + 2048]] = np.arange(len(often[s : s + 2048]))
+        x, y = np.zeros((n, 2048), np.float32), np.zeros((m, 2048), np.float32)
+        mine, theirs = column[at] >= 0, column[bt] >= 0
+        x[ai[mine], column[at[mine]]] = 1
+        y[bi[theirs], column[bt[theirs]]] = 1
+        shared += (x @ y.T).astype(np.int64).reshape(-1)
+    rare = np.flatnonzero(~dense)
+    sizes = acount[rare] * bcount[rare]
+    part = np.cumsum(sizes) // 4_000_000
+    for few in np.split(rare, np.flatnonzero(np.diff(part)) + 1) if len(rare) else ():
+        size = acount[few] * bcount[few]
+        key = np.repeat(few, size)
+        inside = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+        pair = ai[astart[key] + inside // bcount[key]] * m + bi[bstart[key] + inside % bcount[key]]
+        shared += np.bincount(pair, minlength=n * m)
+    return shared.reshape(n, m)
+
+
+PAIR = "a bigint, b bigint, shared bigint, total bigint"
+COUNT = "class bigint, n_links bigint"
+
+
+def compare_cells(counts_only: bool):
+    """The similar pairs of classes in two cells (or of one with itself), or how many each class has of them."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        same = table.column("same")[0].as_py()
+        sides = []
+        for wanted in (0, 1):
+            rows = table.filter(pa.array(side == (0 if same else wanted)))
+            keys = [np.asarray(k, np.int64) for k in rows.column("keys").to_numpy()]
+            sizes = [len(k) for k in keys]
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            sides.append((rows.column("class").to_numpy(), rows.column("n").to_numpy().astype(np.int64), flat, np.repeat(np.arange(len(keys)), sizes)))
+        (a, an, ak, ai), (b, bn, bk, bi) = sides
+        shared = shared_counts(ak, ai, bk, bi, len(a), len(b))
+        total = an[:, None] + bn[None, :] - shared
+        similar = 100 * shared >= SIMILARITY * total
+        if same:
+            similar &= a[:, None] < b[None, :]
+        x, y = np.nonzero(similar)
+        if counts_only:
+            found = np.concatenate([a[x], b[y]])
+            classes, n = np.unique(found, return_counts=True)
+            return pa.table({"class": pa.array(classes, pa.int64()), "n_links": pa.array(n, pa.int64())})
+        columns = {"a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y]), "shared": shared[x, y], "total": total[x, y]}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+
+    return compare
+
+
+def component_tasks(kept: DataFrame, labels: DataFrame) -> DataFrame:
+    """The classes of components, dealt to the tasks that compare two cells each."""
+    bucket = F.floor(F.log("n") / math.log(BUCKET)).cast("int")
+    nodes = kept.join(labels.withColumnRenamed("node", "class"), "class").withColumn("bucket", bucket).select("class", "n", "keys", "label", "bucket", "m")
+    cells = nodes.groupBy("label", "bucket").agg(F.ceil(F.greatest(F.count("*") / CELL_CLASSES, F.sum("m") / CELL_SHINGLES)).cast("int").alias("cells"))
+    above = cells.select("label", (F.col("bucket") - 1).alias("bucket"), F.col("cells").alias("above"))
+    below = cells.select("label", (F.col("bucket") + 1).alias("bucket"), F.col("cells").alias("below"))
+    cells = checkpointed(cells.join(above, ["label", "bucket"], "left").join(below, ["label", "bucket"], "left").fillna(0, ["above", "below"]))
+    placed = nodes.join(cells, ["label", "bucket"]).withColumn("cell", F.pmod(F.xxhash64("class"), "cells").cast("int"))
+
+    def tasks(number: str, task) -> Column:
+        return F.transform(F.when(F.col(number) > 0, F.sequence(F.lit(0), F.col(number) - 1)).otherwise(F.array().cast("array<int>")), task)
+
+    def task(low, first, second, side, wide):
+        return F.struct(low.alias("low"), first.alias("first"), second.alias("second"), wide.alias("wide"), side.cast("int").alias("side"))
+
+    mine, at = F.col("cell"), F.col("bucket")
+    inside = tasks("cells", lambda c: task(at, F.least(mine, c), F.greatest(mine, c), mine > c, F.lit(False)))
+    up = tasks("above", lambda c: task(at, mine, c, F.lit(0), F.lit(True)))
+    down = tasks("below", lambda c: task(at - 1, c, mine, F.lit(1), F.lit(True)))
+    dealt = placed.select("label", "class", "n", "keys", F.explode(F.concat(inside, up, down)).alias("task"))
+    return dealt.select("label", "class", "n", "keys", "task.*").withColumn("same", ~F.col("wide") & (F.col("first") == F.col("second")))
+
+
+def compared(kept: DataFrame, labels: DataFrame, counts_only: bool) -> DataFrame:
+    tasks = component_tasks(kept, labels).groupBy("label", "low", "first", "second", "wide")
+    return tasks.applyInArrow(compare_cells(counts_only), COUNT if counts_only else PAIR)
+
+
+def shingled_classes(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's class (c1, c2) and n, the classes that others can be similar to, and the components (node, label)."""
     ship(df.sparkSession)
     rows = columns_of(df, id=id_column, text=text_column).withColumn("text_row", F.xxhash64("id", "text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -309,7 +416,31 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     dealt = rows.select("text").mapInArrow(emit_dealt(partitions), DEALT)
     counted = dealt.groupBy("g").applyInArrow(count_classes(partitions), ANSWER)
     kept = checkpointed(counted.groupBy("q").applyInArrow(survivors, SURVIVOR))
-    labels = components(class_links(kept))
+    return stats, kept, components(class_links(kept))
+
+
+def class_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All pairs of similar classes, each once: (a, b, shared, total), and membership: the id and class of each row (null
+    for wordless texts). Texts that read alike word for word are one class."""
+    stats, kept, labels = shingled_classes(df, id_column, text_column)
+    return compared(kept, labels, False), stats.select(F.col("id").alias(id_column), F.col("c1").alias("class"))
+
+
+def document_links(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per row: its id, class_id (the least id of its class; its own if wordless) and n_links, the number of other classes
+    that its class is similar to."""
+    stats, kept, labels = shingled_classes(df, id_column, text_column)
+    links = compared(kept, labels, True).groupBy("class").agg(F.sum("n_links").alias("n_links"))
+    classes = stats.filter("c1 is not null").groupBy("c1", "c2").agg(F.min("id").alias("class_id"))
+    classes = classes.join(links, F.col("c1") == F.col("class"), "left").select("c1", "c2", "class_id", "n_links")
+    joined = stats.join(checkpointed(classes), ["c1", "c2"], "left")
+    return joined.select(F.col("id").alias(id_column), F.when(F.col("c1").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per row: its id, n_shingles, component_id, the least id that links reach (its own included), and text_row, a hash of
+    its id and text."""
+    stats, _, labels = shingled_classes(df, id_column, text_column)
 
     classes = stats.filter("c1 is not null").groupBy("c1", "c2").agg(F.min("id").alias("first"))
     classes = classes.join(labels, F.col("c1") == F.col("node"), "left").select("c1", "c2", "first", F.coalesce("label", "c1").alias("label"))

@@ -83,6 +83,30 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert found == brute_groups(rows)
 
 
+def test_all_links_of_classes(spark, folder, agrees, monkeypatch):
+    """Every pair of similar texts is a link, not only those that connect their group."""
+    agrees(catalogue.QUERIES["op2_ngram_links"](spark, folder), catalogue.ORACLE["op2_ngram_links"])
+    monkeypatch.setattr(ngram_join, "CELL_CLASSES", 4)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(0, " ".join(base)), (1, " ".join(base).upper())]
+    for i in range(2, 40):
+        copy = base[: rng.randrange(70, 101)]
+        copy[rng.randrange(len(copy))] = f"e{i}"
+        rows.append((i, " ".join(copy)))
+    sets = {i: shingles(t) for i, t in rows if i != 1}
+    truth = {(x, y, len(sets[x] & sets[y]), len(sets[x] | sets[y])) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    df = with_extra(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    pairs, members = ngram_join.class_pairs(df)
+    of = {}
+    for r in members.collect():
+        of[r["class"]] = min(r.doc_id, of.get(r["class"], r.doc_id))
+    found = [(*sorted((of[r.a], of[r.b])), r.shared, r.total) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == truth and len(truth) > 90
+    links = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.document_links(df).collect()}
+    assert links == {i: (0 if i == 1 else i, sum((0 if i == 1 else i) in t[:2] for t in truth)) for i, _ in rows}
+
+
 def test_marks_of_frequent_shingles_reach_all_partitions(spark, monkeypatch):
     """A batch of near copies with fewer rare shingles than partitions, and a copy in a batch of its own."""
     monkeypatch.setattr(ngram_join, "FREQUENT", 5)
