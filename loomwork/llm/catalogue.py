@@ -30,7 +30,7 @@ SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 
 @query
 def op6_quality_rules(spark, folder):
-    return quality_rules.judge_documents(load_table(spark, folder, "documents")).drop("text_row")
+    return quality_rules.judge_documents(load_table(spark, folder, "documents"))
 
 
 ORACLE["op6_quality_rules"] = f"""
@@ -42,12 +42,12 @@ WITH texts AS (
 ), worded AS (
   SELECT *, {SQL_LOWER.format("array_to_string(ws, ' ')")} AS normal FROM lines WHERE len(ws) > 0
 ), hosts AS (
-  SELECT source, count(DISTINCT md5(text)) AS host_documents FROM texts GROUP BY source
+  SELECT source, count(DISTINCT (doc_id, md5(text))) AS host_documents FROM texts GROUP BY source
 ), counts AS (
-  SELECT source, normal, count(DISTINCT text_key) AS n FROM worded GROUP BY source, normal
+  SELECT source, normal, count(DISTINCT (doc_id, text_key)) AS n FROM worded GROUP BY source, normal
 ), removed AS (
   SELECT c.source, c.normal FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-  WHERE c.n > {quality_rules.LINE_DOCUMENTS} AND c.n > {quality_rules.LINE_SHARE} * h.host_documents
+  WHERE c.n > {quality_rules.LINE_DOCUMENTS} AND (c.n > {quality_rules.LINE_SHARE} * h.host_documents OR c.n > {quality_rules.LINE_MOST})
 ), lost AS (
   SELECT w.doc_id, sum(len(w.ws)) AS lost FROM worded w JOIN removed r ON w.source IS NOT DISTINCT FROM r.source AND w.normal = r.normal
   GROUP BY w.doc_id
@@ -70,11 +70,26 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(n_removed_words AS BIGINT) AS n_removed_words,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_removed_words > 0 AND
-    (n_words - n_removed_words < {quality_rules.LEFT_SHARE} * n_words
-      OR n_words - n_removed_words < {quality_rules.LEFT_WORDS} AND n_words - n_removed_words < n_removed_words)) AS kept
+    (n_words - n_removed_words < {quality_rules.LEFT_SHARE} * n_words OR n_words - n_removed_words < {quality_rules.LEAST_WORDS})) AS kept
 FROM counted
 """
 
+#: The texts without removed lines, of documents that have some: beside the verdict, what the pipeline's first stage passes on.
+LEFT_TEXT = f"""
+WITH lines AS (
+  SELECT doc_id, source, md5(text) AS text_key, pos, line, {SQL_LOWER.format("array_to_string(" + SQL_WORDS.format("line") + ", ' ')")} AS normal FROM (
+    SELECT doc_id, source, text, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM (
+      SELECT doc_id, source, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))
+), removed AS (
+  SELECT c.source, c.normal FROM (SELECT source, normal, count(DISTINCT (doc_id, text_key)) AS n FROM lines WHERE normal <> '' GROUP BY source, normal) c
+  JOIN (SELECT source, count(DISTINCT (doc_id, text_key)) AS h FROM lines GROUP BY source) h ON c.source IS NOT DISTINCT FROM h.source
+  WHERE c.n > {quality_rules.LINE_DOCUMENTS} AND (c.n > {quality_rules.LINE_SHARE} * h.h OR c.n > {quality_rules.LINE_MOST})
+)
+SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE r.normal IS NULL), '') AS left_text
+FROM lines l LEFT JOIN removed r ON l.source IS NOT DISTINCT FROM r.source AND l.normal = r.normal
+GROUP BY l.doc_id HAVING count(r.normal) > 0
+"""
+
 #: The rules of the query (action, host, path).
 URL_RULES = [
     ("allow", "org", "/"),

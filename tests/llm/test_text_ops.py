@@ -53,15 +53,36 @@ def test_token_counts(spark, rows, folder):
     assert token_counts.count_tokens(df.limit(0), PATH).count() == 0
 
 
-def test_quality_rules(spark, folder, agrees, rows, monkeypatch):
+def test_quality_rules(spark, folder, agrees, duck, rows, monkeypatch):
     agrees(catalogue.QUERIES["op6_quality_rules"](spark, folder), catalogue.ORACLE["op6_quality_rules"])
-    low = catalogue.ORACLE["op6_quality_rules"].replace("c.n > 20", "c.n > 3")
+    low, low_text = (sql.replace("c.n > 20", "c.n > 3") for sql in (catalogue.ORACLE["op6_quality_rules"], catalogue.LEFT_TEXT))
     assert low != catalogue.ORACLE["op6_quality_rules"]
     df = spark.read.parquet(f"{folder}/documents.parquet")
-    small = quality_rules.judge_documents(with_extra(df), line_documents=3).drop("text_row")
-    assert any("False" in r for r in agrees(small, low))
-    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", 0)
-    agrees(quality_rules.judge_documents(df, line_documents=3).drop("text_row"), low)
+    left = {i: t for i, t, *_ in rows} | dict(duck.execute(low_text).fetchall())
+    for bound in (quality_rules.BROADCAST_LINES, 0):
+        monkeypatch.setattr(quality_rules, "BROADCAST_LINES", bound)
+        judged = quality_rules.judge_documents(with_extra(df), line_documents=3)
+        assert any("False" in r for r in agrees(judged, low))
+        kept = {r.doc_id for r in judged.filter("kept").collect()}
+        cleaned = quality_rules.cleaned_documents(with_extra(df), line_documents=3)
+        found = {r.doc_id: r for r in cleaned.collect()}
+        assert found.keys() == kept and cleaned.columns == with_extra(df).columns
+        assert all(r.text == left[i] and r.n_chars == len(left[i]) and r.text_row == "clash" for i, r in found.items())
+        assert sum(r.text != t for i, t, *_ in rows if (r := found.get(i))) > 20
+
+
+def test_lines_of_copies_count_by_document(spark, monkeypatch):
+    """Copies under ids of their own count each; rows that repeat count once; a large host has a fixed limit too."""
+    line = "a line that all of them have"
+    body = " ".join(f"w{i}" for i in range(30))
+    copies = spark.createDataFrame([(i, f"{line}\n{body}\nend", "h") for i in range(200)], "doc_id long, text string, source string")
+    assert quality_rules.judge_documents(copies).filter("n_removed_words = n_words and not kept").count() == 200
+    own = spark.createDataFrame([(i, f"{line}\n{body} {i}", "h") for i in range(25)] + [(1000 + i, f"{body} {i} x", "h") for i in range(300)], "doc_id long, text string, source string")
+    assert quality_rules.judge_documents(own).filter("n_removed_words > 0").count() == 0
+    found = {r.doc_id: r.text for r in quality_rules.cleaned_documents(own, line_most=22).collect()}
+    assert found == {i: f"{body} {i}" for i in range(25)} | {1000 + i: f"{body} {i} x" for i in range(300)}
+    repeated = copies.limit(1).unionAll(copies.limit(1)).crossJoin(spark.range(15).drop("id"))
+    assert quality_rules.judge_documents(repeated).filter("n_removed_words > 0").count() == 0
 
 
 def test_quality_edges(spark):
@@ -71,8 +92,10 @@ def test_quality_edges(spark):
     df = spark.createDataFrame([(i, text + f" {i}", None) for i in range(30)] + [(99, only_line, None), (None, None, "s"), (None, "", "s"), (5, text, "t"), (5, text, "t")], "doc_id long, text string, source string")
     kept = {(r.doc_id, r.n_removed_words): r.kept for r in quality_rules.judge_documents(df).collect()}
     assert kept[(3, 25)] is True and kept[(99, 25)] is False and kept[(None, 0)] is False and kept[(5, 0)] is True
-    assert sorted(r.doc_id for r in quality_rules.kept_documents(with_extra(df)).filter("text_row = 'clash'").collect()) == sorted([*range(30), 5, 5])
-    assert quality_rules.judge_documents(df.limit(0)).count() == 0 and quality_rules.kept_documents(df.limit(0)).count() == 0
+    cleaned = quality_rules.cleaned_documents(with_extra(df))
+    assert sorted(r.doc_id for r in cleaned.filter("text_row = 'clash'").collect()) == sorted([*range(30), 5, 5])
+    assert cleaned.filter("source is null and text like '%this line%'").count() == 0 and cleaned.filter("source = 't' and text like '%this line%'").count() == 2
+    assert quality_rules.judge_documents(df.limit(0)).count() == 0 and quality_rules.cleaned_documents(df.limit(0)).count() == 0
 
 
 def test_repeated_words():
