@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontamination, ngram_join, quality_rules, source_mixing, substring_dedup
-from loomwork.llm.catalogue import KEPT_TEXT, ORACLE
+from loomwork.llm.catalogue import KEPT_TEXT, LEFT_TEXT, ORACLE
 from loomwork.session import load_table, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules don't reject, unchanged."""
-    return quality_rules.kept_documents(docs)
+    """Documents that the quality rules don't reject, without the lines above the limits."""
+    return quality_rules.cleaned_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,8 @@ def over(sql: str, table: str) -> str:
 #: A document is taken once in each whole pass and once more if it is in the partial one: passes are numbered from 1.
 ORACLE_SQL = f"""
 WITH rated AS MATERIALIZED (
-  SELECT d.* FROM documents d JOIN {over(ORACLE["op6_quality_rules"], "documents")} v USING (doc_id) WHERE v.kept
+  SELECT d.doc_id, coalesce(l.left_text, d.text) AS text, d.lang, d.source, CASE WHEN l.left_text IS NULL THEN d.n_chars ELSE CAST(length(l.left_text) AS BIGINT) END AS n_chars
+  FROM documents d JOIN {over(ORACLE["op6_quality_rules"], "documents")} v USING (doc_id) LEFT JOIN {over(LEFT_TEXT, "documents")} l USING (doc_id) WHERE v.kept
 ), single AS MATERIALIZED (
   SELECT d.* FROM rated d JOIN {over(ORACLE["op2_ngram_join"], "rated")} v USING (doc_id) WHERE v.component_id = d.doc_id
 ), cut AS MATERIALIZED (
