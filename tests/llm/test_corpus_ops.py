@@ -3,6 +3,7 @@
 import random
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,7 @@ def test_decontamination(spark, folder, agrees, monkeypatch):
     found = agrees(catalogue.QUERIES["op10_decontamination"](spark, folder), catalogue.ORACLE["op10_decontamination"])
     assert len(found) >= 5
     monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
     agrees(catalogue.QUERIES["op10_decontamination"](spark, folder), catalogue.ORACLE["op10_decontamination"])
 
 
@@ -219,15 +221,50 @@ def test_short_texts_and_other_orders_are_found(spark):
 
 def test_decontamination_edges(spark):
     df = with_extra(spark.createDataFrame([(1, "One, two! THREE four five six."), (1, "One, two! THREE four five six."), (None, "one two three four five six"), (2, None), (3, "")], "doc_id long, text string"))
-    benchmark = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, "nothing"), (4, None), (5, "--")], "item_id long, text string")
-    assert [(r.doc_id, r.item_id, r.start_word) for r in decontamination.find_leaks(df, benchmark).collect()] == [(1, 1, 0)]
+    benchmark = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, "two three four five six"), (4, None), (5, "--")], "item_id long, text string")
+    found = sorted(((r.doc_id, r.item_id, r.start_word) for r in decontamination.find_leaks(df, benchmark).collect()), key=str)
+    assert found == [(1, 1, 0), (1, None, 1), (None, 1, 0), (None, None, 1)]
+    kept = decontamination.without_leaks(df, benchmark)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, None), (3, "")] and kept.columns == df.columns
     assert decontamination.find_leaks(df, benchmark.limit(0)).count() == 0 and decontamination.find_leaks(df.limit(0), benchmark).count() == 0
 
 
-def test_simhash(spark):
+def test_repeated_words_are_linear(spark):
+    """A text of one repeated word against an item of it, and a window that starts where a long text ends."""
+    item = "again " * 200
+    df = spark.createDataFrame([(1, "again " * 20_000), (2, "x " * 3000 + item), (3, "again " * 150)], "doc_id long, text string")
+    found = {r.doc_id: tuple(r)[2:] for r in decontamination.find_leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert found == {1: (0, 200, 196, 196), 2: (3000, 200, 196, 196)}
+
+
+def test_radius_loses_nothing(spark):
+    """Thousands of passages at the limit of the similarity, each against the exact similarity of its windows."""
+    rng = random.Random(12)
+    items = {i: [f"i{i}w{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 60))] for i in range(60)}
+    docs, truth = [], set()
+    for d in range(4000):
+        i = d % 60
+        m = len(items[i]) - 4
+        words = list(items[i])
+        lost = m - -(-80 * 2 * m // 180)
+        cut = lost - 4 if lost > 6 and d % 2 else 0  # an edit costs up to five shingles, one at the edge fewer
+        at = 0 if cut == 0 else cut - 1
+        for k in range(at + 1 if cut else lost):
+            words[k] = f"e{d}x{k}"
+        docs.append((d, " ".join([f"n{d}y{k}" for k in range(20)] + words + [f"n{d}z{k}" for k in range(20)])))
+        bags = [Counter(tuple(words[k : k + 5]) for k in range(m)), Counter(tuple(items[i][k : k + 5]) for k in range(m))]
+        if 100 * sum((bags[0] & bags[1]).values()) >= 80 * sum((bags[0] | bags[1]).values()):
+            truth.add((d, i))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert len(truth) > 3000 and found == truth
+
+
+@pytest.mark.parametrize("lane", [16, 32])
+def test_simhash(spark, lane):
     rng = random.Random(1)
     hashes = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 7, 40)]
-    got = [r[0] for r in spark.createDataFrame([(h,) for h in hashes], "h array<bigint>").select(decontamination.simhash(F.col("h"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(h,) for h in hashes], "h array<bigint>").select(decontamination.simhash(F.col("h"), lane)).collect()]
     for h, g in zip(hashes, got, strict=True):
         expected = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) > len(h) // 2)
         assert g & ((1 << 64) - 1) == expected
