@@ -123,13 +123,45 @@ FROM parts p LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON p.page_id = f.page_
 
 @query
 def op7_source_mixing(spark, folder):
-    return source_mixing.mix_documents(load_table(spark, folder, "documents")).drop("draws")
-
-
-ORACLE["op7_source_mixing"] = f"""
-WITH base AS (
-  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, md5(concat_ws(':', '7', doc_id)) AS hash,
-    CAST(len({SQL_WORDS.format("text")}) AS BIGINT) AS size FROM documents
+    """``shards``: the output shards that draw the document, in the order of the passes."""
+    mixed = source_mixing.mix_documents(load_table(spark, folder, "documents"))
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
+
+
+def sql_hypergeometric(items: str, good: str, taken: str, u: str) -> str:
+    """How many of the good are among those taken, by the inverse distribution function: the first x whose sum reaches u."""
+    low, high = f"greatest(0, {good} + {taken} - {items})", f"least({good}, {taken})"
+    chance = f"- lgamma(x + 1) - lgamma({good} - x + 1) - lgamma({taken} - x + 1) - lgamma({items} - {good} - {taken} + x + 1)"
+    logs = f"list_transform(range({low}, {high} + 1), lambda x: {chance})"
+    chances = f"list_transform({logs}, lambda l: exp(l - list_max({logs})))"
+    reached = f"list_filter(range(1, {high} - {low} + 2), lambda i: list_sum(list_slice(p, 1, i)) >= {u} * list_sum(p))"
+    return f"(CASE WHEN {low} >= {high} THEN {high} ELSE (SELECT {low} + coalesce({reached}[1], len(p)) - 1 FROM (SELECT {chances} AS p)) END)"
+
+
+def sql_tree(levels: int) -> str:
+    """CTEs node0 to node<levels> from quotas(key, n): (node, i, key, n), the i-th source by key."""
+    out = ["node0 AS (SELECT '' AS node, row_number() OVER (ORDER BY key) AS i, key, n FROM quotas)"]
+    for at in range(levels):
+        u = "CAST(CAST('0x' || substring(md5(concat_ws(':', '7', 'tree', node, key)), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656"
+        out.append(f"""split{at}(node, i, items, taken, key, n, drawn) AS (
+  SELECT node, CAST(0 AS BIGINT), CAST(sum(n) AS BIGINT), CAST(ceil(sum(n) / 2) AS BIGINT), '', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM node{at} GROUP BY node
+  UNION ALL
+  SELECT node, i, items, taken, key, n, CAST({sql_hypergeometric("items", "n", "taken", "u")} AS BIGINT) FROM (
+    SELECT *, {u} AS u FROM (SELECT s.node, x.i, s.items - s.n AS items, s.taken - s.drawn AS taken, x.key, x.n FROM split{at} s JOIN node{at} x ON x.node = s.node AND x.i = s.i + 1))
+), node{at + 1} AS (
+  SELECT node || half AS node, i, key, CASE WHEN half = '0' THEN drawn ELSE n - drawn END AS n FROM split{at}, (VALUES ('0'), ('1')) h(half) WHERE i > 0
+)""")
+    return ", ".join(out)
+
+
+SQL_LEVELS = source_mixing.LEAST_SHARDS.bit_length() - 1
+
+#: A row for each document and draw of it (shard null without any), for the least number of shards: SHARD_WORDS words each.
+MIX_DRAWS = f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
+    md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, '')))) AS hash, CAST(len({SQL_WORDS.format("text")}) AS BIGINT) AS size FROM documents
 ), sizes AS (
   SELECT key, sum(size) AS source_size, (row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS weight FROM base GROUP BY key
 ), ratios AS (
@@ -144,23 +176,43 @@ WITH base AS (
       SELECT r.key, r.source_size, least(l.level * r.weight, CAST(r.cap AS DOUBLE)) AS target FROM ratios r, levels l))
 ), blocks AS (
   SELECT key, block, words, sum(words) OVER (PARTITION BY key ORDER BY block) AS until
-  FROM (SELECT key, substring(hash, 1, 3) AS block, sum(size) AS words FROM base GROUP BY 1, 2)
+  FROM (SELECT key, substring(hash, 1, 2) AS block, sum(size) AS words FROM base GROUP BY 1, 2)
 ), cuts AS (
   SELECT key, block, rest - until + words AS left_over FROM blocks JOIN sources USING (key) WHERE until > rest AND until - words <= rest
 ), inside AS (
   SELECT b.key, c.left_over, b.hash, sum(b.size) OVER (PARTITION BY b.key ORDER BY b.hash) AS until
-  FROM base b JOIN cuts c ON b.key = c.key AND substring(b.hash, 1, 3) = c.block
+  FROM base b JOIN cuts c ON b.key = c.key AND substring(b.hash, 1, 2) = c.block
 ), ends AS (
   SELECT c.key, c.block, coalesce(max(i.hash), '') AS cut_hash, any_value(c.left_over) - coalesce(max(i.until), 0) AS gap
   FROM cuts c LEFT JOIN (SELECT * FROM inside WHERE until <= left_over) i USING (key) GROUP BY c.key, c.block
 ), nearest AS (
   SELECT b.key, arg_min(b.hash, (abs(e.gap - b.size), b.hash)) AS fit_hash FROM base b JOIN ends e USING (key)
-  WHERE e.gap > 0 AND substring(b.hash, 1, 3) >= e.block AND b.hash > e.cut_hash AND abs(e.gap - b.size) < e.gap GROUP BY b.key
+  WHERE e.gap > 0 AND substring(b.hash, 1, 2) >= e.block AND b.hash > e.cut_hash AND abs(e.gap - b.size) < e.gap GROUP BY b.key
+), units AS (
+  SELECT key, unnest(range(1, whole + 1)) AS pass, block, 'all' AS kind FROM blocks JOIN sources USING (key)
+  UNION ALL SELECT key, whole + 1, block, 'all' FROM blocks JOIN sources USING (key) WHERE until <= rest
+  UNION ALL SELECT key, whole + 1, block, 'part' FROM ends JOIN sources USING (key)
+  UNION ALL SELECT key, whole + 1, substring(fit_hash, 1, 2), 'one' FROM nearest JOIN sources USING (key)
+), permuted AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(concat_ws(':', '7', 'unit', key, pass, block, kind))) - 1 AS at FROM units
+), quotas AS MATERIALIZED (
+  SELECT key, count(*) AS n FROM permuted GROUP BY key
+), {sql_tree(SQL_LEVELS)}, leaves AS MATERIALIZED (
+  SELECT key, shard, n, sum(n) OVER (PARTITION BY key ORDER BY shard) AS stop
+  FROM (SELECT key, n, {" + ".join(f"CAST(substring(node, {k + 1}, 1) AS INT) * {1 << (SQL_LEVELS - 1 - k)}" for k in range(SQL_LEVELS))} AS shard FROM node{SQL_LEVELS})
+), dealt AS (
+  SELECT u.*, l.shard FROM permuted u JOIN leaves l ON l.key = u.key AND u.at < l.stop AND u.at >= l.stop - l.n
 )
-SELECT b.doc_id, b.size, CAST(s.source_size AS BIGINT) AS source_size, s.target, CAST(b.size * (s.whole +
-  CASE WHEN k.until <= s.rest OR (substring(b.hash, 1, 3) = e.block AND b.hash <= e.cut_hash) OR b.hash = n.fit_hash THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM base b JOIN sources s USING (key) JOIN blocks k ON k.key = b.key AND k.block = substring(b.hash, 1, 3)
-LEFT JOIN ends e ON e.key = b.key LEFT JOIN nearest n ON n.key = b.key
+SELECT b.doc_id, b.size, CAST(s.source_size AS BIGINT) AS source_size, s.target, u.pass, u.shard
+FROM base b JOIN sources s USING (key) LEFT JOIN ends e ON e.key = b.key LEFT JOIN nearest n ON n.key = b.key
+LEFT JOIN dealt u ON u.key = b.key AND u.block = substring(b.hash, 1, 2) AND b.size > 0 AND
+  (u.kind = 'all' OR u.kind = 'part' AND b.hash <= e.cut_hash OR u.kind = 'one' AND b.hash = n.fit_hash)
+"""
+
+ORACLE["op7_source_mixing"] = f"""
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+  CAST(any_value(size) * count(shard) AS BIGINT) AS taken, coalesce(string_agg(CAST(shard AS VARCHAR), ',' ORDER BY pass), '') AS shards
+FROM ({MIX_DRAWS}) GROUP BY doc_id
 """
 
 

@@ -301,10 +301,34 @@ def test_mixture_meets_targets(spark):
     for r in found:
         for d in r.draws:
             shards[d["shard"]] = shards.get(d["shard"], 0) + 1
-    assert set(shards) == set(range(source_mixing.SHARDS)) and max(shards.values()) < 2 * min(shards.values())
+    assert set(shards) == set(range(source_mixing.LEAST_SHARDS)) and max(shards.values()) < 2 * min(shards.values())
+    rows = source_mixing.shuffled_rows(df).select("doc_id", "pass", "shard", F.spark_partition_id().alias("part")).collect()
+    assert sorted(str((r.doc_id, r["pass"], r.shard)) for r in rows) == sorted(str((r.doc_id, d["pass"], d["shard"])) for r in found for d in r.draws)
+    assert len({(r.shard, r.part) for r in rows}) == source_mixing.LEAST_SHARDS
+    order = [r.doc_id for r in rows if r.shard == 3]
+    assert order != sorted(order) and len(order) > 20
     assert source_mixing.mix_documents(df.limit(0)).count() == 0
 
 
+def test_the_tree_decides(spark, monkeypatch):
+    """Documents are taken as the leaves say: without some leaves their draws are gone; with other quotas shards differ."""
+    df = spark.createDataFrame([(i, "w " * (i % 50 + 1), "ab"[i % 2]) for i in range(400)] + [(None, "x y z", "a"), (None, "x y", "a")], "doc_id long, text string, source string")
+    tree, plain = source_mixing.splitting_tree, source_mixing.mix_documents(df).collect()
+    monkeypatch.setattr(source_mixing, "splitting_tree", lambda *a: tree(*a).filter("shard > 7"))
+    few = source_mixing.mix_documents(df).collect()
+    assert 0 < sum(r.taken for r in few) < 0.7 * sum(r.taken for r in plain)
+    assert {d["shard"] for r in plain for d in r.draws} == set(range(16)) and not {d["shard"] for r in few for d in r.draws} & set(range(8))
+
+
+def test_tree_over_groups_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "GROUP_SOURCES", 3)
+    quotas = spark.createDataFrame([(f"0s{i}", 10 * i) for i in range(11)], "key string, n bigint")
+    leaves = source_mixing.splitting_tree(quotas, 8, 1).collect()
+    assert {f"0s{i}": 10 * i for i in range(11)} == {k: sum(r.n for r in leaves if r.key == k) for k in {r.key for r in leaves}}
+    per_shard = [sum(r.n for r in leaves if r.shard == s) for s in range(8)]
+    assert max(per_shard) - min(per_shard) <= 3 and min(r.n for r in leaves) >= 0 and len({r.n for r in leaves if r.key == "0s10"}) > 1
+
+
 def test_splitting_tree(spark):
     quotas = spark.createDataFrame([("0a", 1000), ("0b", 10), ("0c", 0), ("1", 333)], "key string, n bigint")
     leaves = source_mixing.splitting_tree(quotas, 8, 1).collect()
