@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontamination, ngram_join, quality_rules, source_mixing, substring_dedup
-from loomwork.llm.catalogue import KEPT_TEXT, LEFT_TEXT, ORACLE
+from loomwork.llm.catalogue import KEPT_TEXT, LEFT_TEXT, MIX_DRAWS, ORACLE
 from loomwork.session import load_table, stored
 
 
@@ -35,11 +35,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document, with the number of the pass; in shard order inside a partition."""
-    others = [c for c in docs.columns if c not in ("doc_id",)]
-    mixed = source_mixing.mix_documents(docs, keep=others)
-    taken = mixed.select("doc_id", *others, F.explode("draws").alias("draw")).sortWithinPartitions("draw.shard", "draw.place")
-    return taken.select(*docs.columns, F.col("draw.pass").alias("pass"))
+    """A row for each time the mix takes a document, with the pass and the shard that draws it; each shard shuffled."""
+    return source_mixing.shuffled_rows(docs)
 
 
 STAGES = [
@@ -66,7 +63,6 @@ def over(sql: str, table: str) -> str:
     return f"({sql.replace('FROM documents', f'FROM {table}')})"
 
 
-#: A document is taken once in each whole pass and once more if it is in the partial one: passes are numbered from 1.
 ORACLE_SQL = f"""
 WITH rated AS MATERIALIZED (
   SELECT d.doc_id, coalesce(l.left_text, d.text) AS text, d.lang, d.source, CASE WHEN l.left_text IS NULL THEN d.n_chars ELSE CAST(length(l.left_text) AS BIGINT) END AS n_chars
@@ -80,6 +76,5 @@ WITH rated AS MATERIALIZED (
 ), clean AS MATERIALIZED (
   SELECT * FROM cut WHERE doc_id NOT IN (SELECT doc_id FROM {over(ORACLE["op10_decontamination"], "cut")})
 )
-SELECT d.*, unnest(range(1, CAST(v.taken / v.size AS BIGINT) + 1)) AS pass
-FROM clean d JOIN {over(ORACLE["op7_source_mixing"], "clean")} v USING (doc_id) WHERE v.size > 0 AND v.taken > 0
+SELECT d.*, v.pass, v.shard FROM clean d JOIN {over(MIX_DRAWS, "clean")} v USING (doc_id) WHERE v.shard IS NOT NULL
 """
