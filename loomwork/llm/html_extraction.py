@@ -10,15 +10,18 @@ below is the mean composite importance of the children, own text counting as a c
 element is low if it and all elements and texts under it are judged and of low importance; low branches are removed from each page.
 An element that holds an article is never low.
 
-The tree needs several pages of a host to speak, so elements that menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments are written as are removed on every page. Where a page marks its article, the text
-comes from it, and only containers inside it can be removed for low importance, not its headings and paragraphs.
+The tree judges what LEAST_PAGES pages or more of a host have, inside articles too: there only headings, paragraphs and
+the like without a class of their own are left alone, since pages may copy each other's text. Where boilerplate differs from page
+to page, or a host has few pages, importance can't tell it from content. For these cases elements that menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and comments are written as are removed too, and where a
+page marks its article the text comes from it; ``hints=False`` leaves all to the tree.
 
 The first scan emits a few numbers for each path of a page; a hot host is pre-aggregated by path and content before
 the shuffle, and importance rises by levels of the tree in joins on host and path. The low branches of all hosts are broadcast if they are few, or else joined to the pages by host.
 
 Defined cases: null or empty html gives an empty text; a page without a host is a host of its own kind; unclosed,
-misnested or cut markup closes with the page; rows that repeat are extracted each; an empty table gives no rows.
+misnested or cut markup closes with the page; rows that repeat are extracted each; an empty table gives no rows. Time
+is linear in the page, whatever its tags: elements below TREE_DEPTH count as content of the one above them.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.5
 #: How much less presentation counts with each further child.
 DECAY = 0.9
-#: Elements nested deeper than this count as content of their ancestors.
-TREE_DEPTH = 12
+#: Elements nested deeper than this count as content of their ancestors; importance rises level by level.
+TREE_DEPTH = 24
 #: Low branches up to which they are broadcast (8 bytes each).
 BROADCAST_BRANCHES = 1_000_000
 
@@ -65,7 +68,8 @@ BOILERPLATE_WORDS = frozenset(
     "share sharing social related recommended comment comments disqus reply replies respond pagination pager toolbar widget skip".split()
 )
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: Quantifiers never give back, so that each character is looked at once; an attribute that is cut off ends with the page.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|=)*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_WORD = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 
@@ -73,7 +77,7 @@ NAME_WORD = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 class Element:
     __slots__ = ("article", "children", "dropped", "label", "main", "own", "path", "tag")
 
-    def __init__(self, tag: str, label: str, path: str, own: list[str], dropped: bool, article: bool, main: bool):
+    def __init__(self, tag: str, label: str, path: int, own: list[str], dropped: bool, article: bool, main: bool):
         self.tag, self.label, self.path, self.own = tag, label, path, own
         self.dropped, self.article, self.main = dropped, article, main
         self.children: list[str] = []
@@ -84,7 +88,7 @@ class Node:
 
     __slots__ = ("article", "children", "content", "depth", "parent", "presentation", "times")
 
-    def __init__(self, parent: str, depth: int):
+    def __init__(self, parent: int, depth: int):
         self.parent, self.depth = parent, depth
         self.presentation = self.content = self.children = self.times = 0
         self.article = False
@@ -93,14 +97,17 @@ class Node:
 class Page:
     """One parsed page: pieces of text with where they stand, and the elements of the style tree."""
 
-    def __init__(self, markup: str, low: frozenset[int] = frozenset(), tree: bool = False):
-        self.low, self.tree = low, tree
+    def __init__(self, markup: str, low: frozenset[int] = frozenset(), tree: bool = False, hints: bool = True):
+        self.low, self.tree, self.hints = low, tree, hints
         #: Text pieces and, beside them, 0 for dropped text, 1 for other text, 2 in a main element, 3 in an article.
         self.pieces: list[str] = []
         self.places: list[int] = []
         self.has_article = self.has_main = False
-        self.elements: dict[str, Node] = {}
-        self.stack = [Element("", "", "", [], False, False, False)]
+        self.elements: dict[int, Node] = {}
+        self.stack = [Element("", "", 0, [], False, False, False)]
+        #: Places in the stack of the open elements of each tag, and of the containers that end a search for one.
+        self.open: dict[str, list[int]] = {}
+        self.boundaries = [0]
         self.parse(markup)
         while len(self.stack) > 1:
             self.close()
@@ -164,45 +171,49 @@ class Page:
                     if name == "class":
                         classes = ".".join(sorted(value.split()))
         label = f"{tag}.{classes}" if classes else tag
-        path = f"{parent.path}/{label}" if len(self.stack) <= TREE_DEPTH else parent.path
-        article = parent.article or tag == "article"
-        main = parent.main or tag == "main" or role == "main"
+        path = path_key(parent.path, label) if len(self.stack) <= TREE_DEPTH else parent.path
+        article = parent.article or (self.hints and tag == "article")
+        main = parent.main or (self.hints and (tag == "main" or role == "main"))
         boilerplate = tag in BOILERPLATE or hidden or role in BOILERPLATE_ROLES or (tag == "header" and not parent.article)
         if tag not in ("html", "body", "main") and not (tag == "article" and not parent.article and "comment" not in words and "comments" not in words):
             boilerplate = boilerplate or not BOILERPLATE_WORDS.isdisjoint(words)
-        dropped = parent.dropped or boilerplate
-        if not dropped and self.low and path != parent.path and not (article and (tag in TEXT or tag == "article")):
-            dropped = path_key(path) in self.low
+        dropped = parent.dropped
+        if not dropped and self.low and path != parent.path and not (article and (tag == "article" or (tag in TEXT and not classes))):
+            dropped = path in self.low
+        dropped = dropped or (self.hints and boilerplate)
         if not dropped:
-            self.has_article |= tag == "article"
+            self.has_article |= article and tag == "article"
             self.has_main |= main and not parent.main
         deeper = path == parent.path
         if not deeper:
             parent.children.append(label)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BOUNDARY:
+            self.boundaries.append(len(self.stack))
         self.stack.append(Element(tag, label, path, parent.own if deeper else [], dropped, article, main))
         return at
 
     def close_open(self, tags: set[str]) -> None:
         """Close an open element of these tags, if it stands inside the nearest container."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag in tags:
-                while len(self.stack) > depth:
-                    self.close()
-                return
-            if self.stack[depth].tag in BOUNDARY:
-                return
+        depth = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        if depth > self.boundaries[-1]:
+            self.close_from(depth)
+
+    def close_from(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.close()
 
     def end(self, tag: str) -> None:
         if tag not in INLINE:
             self.add(" ")
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag == tag:
-                while len(self.stack) > depth:
-                    self.close()
-                return
+        if self.open.get(tag):
+            self.close_from(self.open[tag][-1])
 
     def close(self) -> None:
         element = self.stack.pop()
+        self.open[element.tag].pop()
+        if element.tag in BOUNDARY:
+            self.boundaries.pop()
         parent = self.stack[-1].path
         if self.tree and element.path != parent:
             text = " ".join("".join(element.own).split())
@@ -215,8 +226,9 @@ class Page:
             mine.article |= element.tag == "article" and not element.dropped
 
 
-def path_key(path: str) -> int:
-    return xxhash.xxh3_64_intdigest(path) - (1 << 63)
+def path_key(parent: int, label: str) -> int:
+    """The name of an element by that of the one above it and its tag and classes."""
+    return xxhash.xxh3_64_intdigest(label, seed=parent & ((1 << 64) - 1)) - (1 << 63)
 
 
 ELEMENT = "host string, path bigint, parent bigint, depth int, presentation bigint, content bigint, children bigint, share double, own_share double, article boolean"
@@ -236,8 +248,8 @@ def emit_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 above = elements.get(node.parent)
                 values = (
                     host,
-                    path_key(path),
-                    path_key(node.parent),
+                    path,
+                    node.parent,
                     node.depth,
                     node.presentation - (1 << 63),
                     node.content - (1 << 63) if own else None,
@@ -251,18 +263,21 @@ def emit_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({k: pa.array(v, ELEMENT_TYPES.get(k, pa.int64())) for k, v in rows.items()})
 
 
-def emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "html"):
-        low: dict[tuple, frozenset[int]] = {}
-        texts = []
-        for markup, branches in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
-            known = low.setdefault(tuple(branches or ()), frozenset(branches or ()))
-            texts.append(Page(markup, known).text() if markup else "")
-        counts = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": counts})
+def emit_texts(hints: bool):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            low: dict[tuple, frozenset[int]] = {}
+            texts = []
+            for markup, branches in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
+                known = low.setdefault(tuple(branches or ()), frozenset(branches or ()))
+                texts.append(Page(markup, known, hints=hints).text() if markup else "")
+            counts = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": counts})
+
+    return emit
 
 
-def element_importance(elements: DataFrame) -> DataFrame:
+def element_importance(elements: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, path, pages, importance, highest) of the style tree's elements, from the pages' paths: the composite
     importance, and the highest one of the element and all under it, null where one of them can't be low."""
 
@@ -286,7 +301,7 @@ def element_importance(elements: DataFrame) -> DataFrame:
     # From the deepest level up: children pass their importance, weighted by their share, to the parent.
     weight = F.pow(F.lit(DECAY), F.col("children") / F.col("pages"))
     below = (F.coalesce("passed", F.lit(0.0)) + F.col("own_share") * F.coalesce("content", F.lit(0.0))) / F.col("pages")
-    kept = F.col("article") | (F.col("pages") < LEAST_PAGES) | F.coalesce(F.col("texts") < LEAST_PAGES, F.lit(False)) | F.coalesce("kept_below", F.lit(False))
+    kept = F.col("article") | (F.col("pages") < least_pages) | F.coalesce(F.col("texts") < least_pages, F.lit(False)) | F.coalesce("kept_below", F.lit(False))
     judged = passed = None
     for depth in range(nodes.agg(F.max("depth")).first()[0] or 1, 0, -1):
         level = nodes.filter(F.col("depth") == depth)
@@ -302,16 +317,24 @@ def element_importance(elements: DataFrame) -> DataFrame:
     return judged
 
 
-def extract_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """Per row: its id, url, text and n_chars (code points)."""
+def extract_texts(
+    pages: DataFrame,
+    id_column: str = "page_id",
+    url_column: str = "url",
+    html_column: str = "html",
+    hints: bool = True,
+    least_pages: int = LEAST_PAGES,
+    least_importance: float = LEAST_IMPORTANCE,
+) -> DataFrame:
+    """Per row: its id, url, text and n_chars (code points). Without ``hints`` only the style tree removes elements."""
     ship(pages.sparkSession)
     rows = columns_of(pages, id=id_column, url=url_column, html=html_column).withColumn("host", host_and_path(F.col("url"))[0])
     elements = rows.select("host", "html").mapInArrow(emit_elements, ELEMENT)
-    judged = element_importance(checkpointed(elements))
-    low = judged.filter(F.col("highest") < LEAST_IMPORTANCE)
+    judged = element_importance(checkpointed(elements), least_pages)
+    low = judged.filter(F.col("highest") < least_importance)
     low = checkpointed(low.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("low")))
     if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_BRANCHES:
         low = F.broadcast(low)
     joined = rows.join(low, "host", "left").select("id", "url", "html", "low")
-    texts = joined.mapInArrow(emit_texts, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    texts = joined.mapInArrow(emit_texts(hints), f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars bigint")
     return texts.withColumnsRenamed({"id": id_column, "url": url_column})

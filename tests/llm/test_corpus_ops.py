@@ -405,6 +405,86 @@ def test_style_tree_keeps_containers_of_content(spark):
     assert found == expected | {100 + i: f"own text {i}" for i in range(10)} | {200 + i: "One story" for i in range(10)}
 
 
+def test_the_tree_alone(spark):
+    """Without hints the tree finds the article of pages whose other parts recur, and takes branches out of articles."""
+
+    def layout(i):
+        terms = "<div class='t1'><p>these are the terms of our site</p></div><p class='t2'>all rights are ours</p>"
+        return page(f"<nav><ul><li>home</li><li>news</li></ul></nav><div class='ad'>buy this thing {i % 3}</div><article><h1>Title {i}</h1><p>story {i}</p>{terms}<p>more of {i}</p></article><footer>all of us</footer>")
+
+    rows = [(i, f"http://one.org/{i}", layout(i)) for i in range(40)] + [(100, "http://other.org/", layout(100))]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    expected = {i: f"Title {i} story {i} more of {i}" for i in range(40)}
+    for hints in (False, True):
+        found = {r.page_id: r.text for r in html_extraction.extract_texts(df, hints=hints).collect()}
+        alone = found.pop(100)
+        assert found == expected
+        assert alone == "Title 100 story 100 these are the terms of our site all rights are ours more of 100" if hints else "buy this thing" in alone
+
+
+def brute_importance(hosts):
+    """(host, path): pages, composite importance and the highest of the branch (None where one of it can't be low)."""
+    from math import log
+
+    out = {}
+    for host, markups in hosts.items():
+        pages = [html_extraction.Page(m, tree=True).elements for m in markups]
+        paths = {p for e in pages for p in e}
+        parent = {p: e[p].parent for e in pages for p in e}
+
+        def rated(path):
+            nodes = [(e, e[path]) for e in pages if path in e]
+            m = len(nodes)
+            looks = Counter(n.presentation for _, n in nodes)
+            shown = -sum(c / m * log(c / m) for c in looks.values()) / log(m) if m > 1 else 1.0
+            contents = Counter(n.content for _, n in nodes if n.content or not n.children)
+            t = sum(contents.values())
+            own = (1 - sum(log(c) for c in contents.values()) / len(contents) / log(t) if t > 1 else 1.0) if t else None
+            below = sum(own / (n.children + 1) for _, n in nodes if n.content or not n.children) if t else 0.0
+            high, kept = own or 0.0, any(n.article for _, n in nodes) or m < html_extraction.LEAST_PAGES or (t and t < html_extraction.LEAST_PAGES)
+            for child in (c for c in paths if parent[c] == path):
+                rating, above, fixed = rated(child)
+                below += sum(e[child].times / (n.children + (n.content != 0)) for e, n in nodes if child in e) * rating
+                high, kept = max(high, above), kept or fixed
+            share = html_extraction.DECAY ** (sum(n.children for _, n in nodes) / m)
+            rating = (1 - share) * shown + share * below / m
+            out[host, path] = (m, rating, None if kept else max(high, rating))
+            return rating, max(high, rating), kept
+
+        for top in (p for p in paths if parent[p] == 0):
+            rated(top)
+    return out
+
+
+def test_importance_against_brute_force(spark):
+    rng = random.Random(3)
+
+    def branch(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["same", "other", f"own {rng.randrange(100)}", ""])
+        return "".join(f"<{t} class=k{k}>{branch(depth - 1)}</{t}>" for k in range(rng.randrange(1, 4)) for t in [rng.choice(["div", "section", "p"])])
+
+    hosts = {f"h{h}.org": [f"<body>{branch(3)}{'<article>a</article>' if h == 2 and i == 4 else ''}</body>" for i in range(n)] for h, n in enumerate((12, 20, 9, 3))}
+    df = spark.createDataFrame([(h, m) for h, markups in hosts.items() for m in markups], "host string, html string").repartition(3)
+    elements = df.mapInArrow(html_extraction.emit_elements, html_extraction.ELEMENT)
+    found = {(r.host, r.path): (r.pages, r.importance, r.highest) for r in html_extraction.element_importance(elements).collect()}
+    truth = brute_importance(hosts)
+    assert found.keys() == truth.keys() and len(truth) > 60 and any(v[2] is not None and v[2] < 0.9 for v in truth.values())
+    for k, (m, rating, high) in truth.items():
+        assert found[k][0] == m and abs(found[k][1] - rating) < 1e-9 and (found[k][2] is None if high is None else abs(found[k][2] - high) < 1e-9), k
+
+
+@pytest.mark.parametrize(
+    "markup, text",
+    [("</b></div>" * 200_000 + "x", "x"), ("<a " * 300_000 + '"', ""), ("<b>" * 200_000 + "y" + "<p>" * 100_000, "y"), ("<p title=it's>q</p>" * 50_000, " ".join(["q"] * 50_000)), ("<p don't>q</p>", "q"), ('<p title="cut <b>off', "")],
+)
+def test_odd_markup_is_linear(markup, text):
+    import time
+
+    began = time.perf_counter()
+    assert html_extraction.Page(markup, tree=True).text() == text and time.perf_counter() - began < 20
+
+
 # Pipeline.
 
 
