@@ -1,118 +1,154 @@
 """LM scoring: the cross-entropy difference of two matched n-gram models.
 
-A target model learns from the documents with a target id, a background model from all documents. Both share one
-vocabulary, the most frequent words of the whole corpus, and both keep bigram counts in the same hashed buckets, so that
-collisions touch them alike. The chance of a word is its bigram count, smoothed by its unigram chance:
-(c(v, w) + m p(w)) / (c(v) + m). A document's score is its mean loss per token under the target model less that under
-the background model; the lower, the more it reads like the target.
-
-Counting covers all rows; telling the target texts apart shuffles the texts once. Workers add up their batches before
-their counts are shuffled. The models' size is bounded by VOCABULARY and BUCKETS alone (16 bytes each), so they are
-broadcast. Scoring is one more scan without a shuffle.
+A target model learns from the documents with a target id, a background model from all others. Both count all words and
+all pairs of neighbouring words of the whole corpus exactly, so that what they know grows with the input, and share one
+vocabulary, every word of it. They are matched in size: the counts of the larger model are scaled to the words of the
+smaller one, which is what a sample of that size would hold on average, without dropping a text. The chance of a word
+after another is (c(v, w) + m p(w)) / (c(v) + m), p(w) = (c(w) + m q(w)) / (n + m), with c and n of the model and q(w)
+the share of w in the whole corpus; a text starts after a sign of its own. A document's score is its mean loss per
+token under the target model less that under the background model; the lower, the more it reads like the target.
+
+Texts are read once and cut into batches. A batch deals the hashes of its distinct words and pairs, with how often it
+has them, to partitions by hash; a partition adds up the batches and sends each batch the sums for its own keys, in
+its own order. These meet the batch's words (three bytes each), which don't leave it otherwise, and its documents are
+scored. No model stands in one place, and nothing but totals comes to the driver. A hot word or pair is one key of each
+batch. Texts are only shuffled to tell the target ones apart where there are too many targets for a broadcast.
+
+Keys are compared by 40 bits inside a partition: about one of its million keys meets another by chance.
 
 Defined cases: a null or wordless text has 0 tokens and null losses; null ids are background alone; an id that repeats
-among the targets counts once; without target documents the target model is uniform; an empty table gives no rows.
+among the targets counts once; without target documents, or with nothing else, the model without texts has q(w) for
+all words; rows that repeat are counted and scored each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+import uuid
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import columns_of, slices
+from loomwork.llm.ngram_join import KEY_BITS, pack, runs, unpack
 from loomwork.llm.substring_dedup import mixed
-from loomwork.session import ship
+from loomwork.session import ship, stored
 
-#: Words of the shared vocabulary; all others are one word.
-VOCABULARY = 8_192
-#: Buckets of bigram counts.
-BUCKETS = 1 << 20
-#: Weight of the unigram chance against bigram counts, and what is added to each unigram count.
+#: Weight of the chance that a count is smoothed by.
 SMOOTHING = 10.0
-ADDED = 0.5
-#: Distinct words that a worker counts before it passes them on.
-COUNTER_WORDS = 500_000
+#: Text bytes of a batch, which bounds a worker's memory; and those whose words and pairs one partition adds up.
+BATCH_BYTES = 12_000_000
+PARTITION_BYTES = 16_000_000
+LEAST_PARTITIONS = 64
+#: Target ids up to which they are broadcast (about 40 bytes each).
+BROADCAST_TARGETS = 1_000_000
 
-UNKNOWN = 0
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: What stands before a text, as a word's hash.
+_START = 0x51A7
 
 
 def lowered(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def emit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def packed(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in seen], pa.string()), "n": pa.array(seen.values(), pa.int64())})
+def pack_counts(values: np.ndarray) -> bytes:
+    """Two bytes of each count; those from 65,535 up follow in eight."""
+    return np.minimum(values, 65_535).astype("<u2").tobytes() + values[values >= 65_535].astype("<i8").tobytes()
 
-    seen: Counter = Counter()
-    for batch in slices(batches):
-        for text in batch.column("text").to_pylist():
-            seen.update(lowered(text))
-        if len(seen) > COUNTER_WORDS:
-            yield packed(seen)
-            seen = Counter()
-    yield packed(seen)
 
+def unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    values = np.frombuffer(blob, "<u2", n).astype(np.int64)
+    values[values == 65_535] = np.frombuffer(blob, "<i8", offset=2 * n)
+    return values
 
-class Words:
-    """Word ids, from 1 in the order of the vocabulary; the id after the last stands before a text."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.ids = {w.encode(): i + 1 for i, w in enumerate(vocabulary)}
-        self.size = len(vocabulary) + 2
+class Batch:
+    """The words of some texts and the distinct keys of their words and pairs, in the order of partitions."""
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words, ids of the words before them, and the number of words of each text."""
-        words = [lowered(t) for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        ids = np.fromiter((i for w in words for i in map(self.ids.get, w, repeat(UNKNOWN))), np.int64, int(sizes.sum()))
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, partitions: int):
+        """``ids``: the word of each token, by its place in ``hashes``, whose last entry stands before each text."""
+        self.ids, self.sizes = ids, sizes
+        self.start = len(hashes) - 1
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
-        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = self.size - 1
-        return ids, before, sizes
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = self.start
+        self.before = before
+        pairs, self.pair = np.unique(before * len(hashes) + ids, return_inverse=True)
+        keys = np.concatenate([mixed(hashes), mixed(hashes[pairs // len(hashes)] * _PAIR + hashes[pairs % len(hashes)] + np.uint64(1))])
+        part = ((keys >> np.uint64(KEY_BITS)) % np.uint64(partitions)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        self.keys, self.part = keys[self.order] & np.uint64((1 << KEY_BITS) - 1), part[self.order]
+        self.words = len(hashes)
+
+    def counts(self, chosen: np.ndarray | None = None) -> np.ndarray:
+        """How often the batch has each key, or has it in the chosen tokens; the start counts once for each text."""
+        ids, pair, before = (self.ids, self.pair, self.before) if chosen is None else (self.ids[chosen], self.pair[chosen], self.before[chosen])
+        words = np.bincount(ids, minlength=self.words)
+        words[self.start] += np.count_nonzero(before == self.start)
+        return np.concatenate([words, np.bincount(pair, minlength=len(self.order) - self.words)])[self.order]
 
-    def bucket(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return (mixed((before * self.size + ids).astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
 
+DEALT = "batch bigint, p int, at int, n int, keys binary, totals binary, targets binary, ids array<{}>, sizes binary, n_tokens bigint, n_target bigint"
+ANSWER = "batch bigint, at int, n int, totals binary, targets binary"
 
-def emit_counts(vocabulary):
-    """Bigram buckets and, after them, unigrams and contexts: counts in target texts and in all texts."""
+
+def emit_dealt(partitions: int, schema: pa.Schema):
+    """Rows of each batch: its keys and counts for each partition, and the batch itself (p = -1): tokens of three bytes
+    as keys, hashes of its words as totals, ids and sizes of its texts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(vocabulary.value)
-        counts = np.zeros((2, BUCKETS + 2 * words.size), np.int64)
-        for batch in slices(batches):
-            ids, before, sizes = words.encode(batch.column("text").to_pylist())
-            target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), sizes)
-            at = np.concatenate([words.bucket(before, ids), BUCKETS + ids, BUCKETS + words.size + before])
-            counts[1] += np.bincount(at, minlength=counts.shape[1])
-            counts[0] += np.bincount(at[np.tile(target, 3)], minlength=counts.shape[1])
-        found = np.flatnonzero(counts[1])
-        for s in range(0, len(found), 100_000):
-            at = found[s : s + 100_000]
-            yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "target": pa.array(counts[0, at]), "background": pa.array(counts[1, at])})
+        for given in slices(batches, limit=BATCH_BYTES):
+            known: dict[bytes, int] = {}
+            ids, sizes = [], []
+            for text in given.column("text").to_pylist():
+                words = lowered(text)
+                sizes.append(len(words))
+                ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+            sizes = np.array(sizes, np.int64)
+            hashes = np.fromiter((*map(xxhash.xxh3_64_intdigest, known), _START), np.uint64, len(known) + 1)
+            batch = Batch(np.concatenate(ids), sizes, hashes, partitions)
+            target = np.repeat(given.column("target").to_numpy(zero_copy_only=False).astype(bool), sizes)
+            totals, targets = batch.counts(), batch.counts(target)
+            name = uuid.uuid4().int >> 65
+            rows = [
+                {"batch": name, "p": int(batch.part[s]), "at": s, "n": c, "keys": pack(batch.keys[s : s + c]), "totals": pack_counts(totals[s : s + c]), "targets": pack_counts(targets[s : s + c])}
+                for s, c in zip(*(x.tolist() for x in runs(batch.part)), strict=True)
+            ]
+            tokens = np.ascontiguousarray(batch.ids.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+            home = {"batch": name, "p": -1, "keys": tokens, "totals": hashes.tobytes(), "ids": given.column("id").to_pylist(), "sizes": sizes.astype("<u4").tobytes()}
+            rows.append(home | {"n_tokens": len(target), "n_target": int(target.sum())})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return emit
 
 
-class Model:
-    """One model's counts: bigram buckets, unigrams and contexts."""
+def add_up(table: pa.Table) -> pa.Table:
+    """The sums of one partition, for each batch in its own order."""
+    sizes = table.column("n").to_pylist()
+    keys = unpack(b"".join(table.column("keys").to_pylist()))
+    _, key = np.unique(keys, return_inverse=True)
+    out = {"batch": table.column("batch"), "at": table.column("at"), "n": table.column("n")}
+    ends = np.cumsum(sizes)
+    for name in ("totals", "targets"):
+        mine = np.concatenate([unpack_counts(b, n) for b, n in zip(table.column(name).to_pylist(), sizes, strict=True)])
+        sums = np.bincount(key, weights=mine).astype(np.int64)[key]
+        out[name] = pa.array([pack_counts(sums[e - n : e]) for e, n in zip(ends.tolist(), sizes, strict=True)], pa.binary())
+    return pa.table(out)
 
-    def __init__(self, counts: np.ndarray, size: int):
-        self.bigrams, self.words, self.contexts = counts[:BUCKETS], counts[BUCKETS : BUCKETS + size], counts[BUCKETS + size :]
-        self.chance = (self.words + ADDED) / (self.words.sum() + ADDED * (size - 1))
 
-    def losses(self, before: np.ndarray, ids: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """-log p of each word; a bucket's count is at most that of its word and of its context."""
-        context = self.contexts[before]
-        seen = np.minimum(np.minimum(self.bigrams[bucket], context), self.words[ids])
-        return -np.log((seen + SMOOTHING * self.chance[ids]) / (context + SMOOTHING))
+def losses(batch: Batch, counts: np.ndarray, n: float, share: np.ndarray) -> np.ndarray:
+    """-log p of each token by a model's counts of the batch's keys and the words' shares in the corpus."""
+    found = np.empty(len(batch.order))
+    found[batch.order] = counts
+    words, pairs = found[: batch.words], found[batch.words :]
+    chance = (words + SMOOTHING * share) / (n + SMOOTHING)
+    return -np.log((pairs[batch.pair] + SMOOTHING * chance[batch.ids]) / (words[batch.before] + SMOOTHING))
 
 
 def mean_by_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -122,20 +158,35 @@ def mean_by_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return (ends[stop] - ends[stop - sizes]) / sizes
 
 
-def emit_scores(vocabulary, counts):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(vocabulary.value)
-        target, background = (Model(c, words.size) for c in counts.value)
-        for batch in slices(batches):
-            ids, before, sizes = words.encode(batch.column("text").to_pylist())
-            bucket = words.bucket(before, ids)
-            losses = [mean_by_text(m.losses(before, ids, bucket), sizes) for m in (target, background)]
-            none = sizes == 0
-            columns = {"id": batch.column("id"), "n_tokens": pa.array(sizes)}
-            columns |= {k: pa.array(v, pa.float64(), mask=none) for k, v in (("target_loss", losses[0]), ("background_loss", losses[1]), ("score", losses[0] - losses[1]))}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return emit
+def score_batch(partitions: int, n_tokens: int, n_target: int, kind: pa.DataType):
+    """The scores of one batch's documents, from the batch and the sums of its keys."""
+    n_other = n_tokens - n_target
+    size = min(n_target, n_other) or max(n_target, n_other)
+    scales = (size / n_target if n_target else 0.0, size / n_other if n_other else 0.0)
+
+    def score(table: pa.Table) -> pa.Table:
+        home = pc.equal(table.column("p"), -1)
+        mine = table.filter(home).to_pylist()[0]
+        narrow = np.frombuffer(mine["keys"], np.uint8).reshape(-1, 3)
+        wide = np.zeros((len(narrow), 4), np.uint8)
+        wide[:, :3] = narrow
+        sizes = np.frombuffer(mine["sizes"], "<u4").astype(np.int64)
+        batch = Batch(wide.view("<u4").reshape(-1).astype(np.int64), sizes, np.frombuffer(mine["totals"], np.uint64), partitions)
+        sums = np.zeros((2, len(batch.order)), np.int64)
+        for row in table.filter(pc.invert(home)).select(["at", "n", "totals", "targets"]).to_pylist():
+            at = slice(row["at"], row["at"] + row["n"])
+            sums[0, at], sums[1, at] = unpack_counts(row["totals"], row["n"]), unpack_counts(row["targets"], row["n"])
+        share = np.empty(len(batch.order))
+        share[batch.order] = sums[0] / max(1, n_tokens)
+        share = share[: batch.words]
+        models = [mean_by_text(losses(batch, c * s, size if s else 0, share), sizes) for c, s in zip((sums[1], sums[0] - sums[1]), scales, strict=True)]
+        none = sizes == 0
+        columns = {"id": pa.array(mine["ids"], kind), "n_tokens": pa.array(sizes)}
+        for name, values in (("target_loss", models[0]), ("background_loss", models[1]), ("score", models[0] - models[1])):
+            columns[name] = pa.array(values, pa.float64(), mask=none)
+        return pa.table(columns)
+
+    return score
 
 
 def score_documents(df: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text", target_column: str = "doc_id") -> DataFrame:
@@ -143,22 +194,27 @@ def score_documents(df: DataFrame, targets: DataFrame, id_column: str = "doc_id"
 
     ``targets`` holds the ids of the documents that the target model learns from.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+
     spark = df.sparkSession
     ship(spark)
     rows = columns_of(df, id=id_column, text=text_column)
-    counted = rows.select("text").mapInArrow(emit_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    vocabulary = spark.sparkContext.broadcast(words)
-
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
+    partitions = max(LEAST_PARTITIONS, math.ceil(size / PARTITION_BYTES))
     chosen = columns_of(targets, id=target_column).filter("id is not null").distinct().withColumn("target", F.lit(True))
-    # Merged at every size: the ids grow with the corpus, and a plan that broadcasts few of them would not show it.
-    told = rows.join(chosen.hint("merge"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = told.mapInArrow(emit_counts(vocabulary), "at bigint, target bigint, background bigint")
-    table = counted.groupBy("at").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    counts = np.zeros((2, BUCKETS + 2 * (len(words) + 2)))
-    at = table.column("at").to_numpy()
-    counts[0, at], counts[1, at] = table.column("target").to_numpy(), table.column("background").to_numpy()
-
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(emit_scores(vocabulary, spark.sparkContext.broadcast(counts)), f"id {kind}, n_tokens bigint, target_loss double, background_loss double, score double")
+    if chosen.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
+        chosen = F.broadcast(chosen)
+    told = rows.join(chosen, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+    id_type = rows.schema["id"].dataType
+    dealt_type = DEALT.format(id_type.simpleString())
+    arrow = to_arrow_schema(spark.createDataFrame([], dealt_type).schema)
+    dealt = stored(told.mapInArrow(emit_dealt(partitions, arrow), dealt_type), "lm-scoring")
+    homes = dealt.filter("p = -1")
+    totals = homes.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_target").alias("n_target")).first()
+
+    sums = dealt.filter("p >= 0").select("batch", "p", "at", "n", "keys", "totals", "targets").groupBy("p").applyInArrow(add_up, ANSWER)
+    met = homes.drop("n_tokens", "n_target").unionByName(sums.withColumn("p", F.lit(0)), allowMissingColumns=True)
+    score = score_batch(partitions, totals.n_tokens or 0, totals.n_target or 0, to_arrow_type(id_type))
+    scored = met.groupBy("batch").applyInArrow(score, f"id {id_type.simpleString()}, n_tokens bigint, target_loss double, background_loss double, score double")
     return scored.withColumnRenamed("id", id_column)

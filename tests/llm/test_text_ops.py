@@ -209,42 +209,49 @@ def test_prediction_ignores_held_out_labels(spark):
 # LM scoring.
 
 
+def brute_scores(texts, targets):
+    """Losses by plain counting: {id: (tokens, target loss, background loss)}."""
+    split = {i: (t or "").lower().split() if (t or "").isascii() else (t or "").encode().lower().decode().split() for i, t in texts.items()}
+    grams, unis = ({True: Counter(), False: Counter()} for _ in range(2))
+    for i, words in split.items():
+        mine = i in targets
+        grams[mine].update(zip([None, *words], words, strict=False))
+        unis[mine].update([None, *words] if words else [])
+    n = {k: sum(c for w, c in u.items() if w is not None) for k, u in unis.items()}
+    size = min(n.values()) or max(n.values())
+    out = {}
+    for i, words in split.items():
+        found = []
+        for k in (True, False):
+            scale = size / n[k] if n[k] else 0
+            loss = 0.0
+            for v, w in zip([None, *words], words, strict=False):
+                share = (unis[True][w] + unis[False][w]) / sum(n.values())
+                chance = (unis[k][w] * scale + 10 * share) / ((size if scale else 0) + 10)
+                loss -= math.log((grams[k][v, w] * scale + 10 * chance) / (unis[k][v] * scale + 10))
+            found.append(loss / len(words) if words else None)
+        out[i] = (len(words), *found)
+    return out
+
+
 def test_lm_scoring(spark, rows, folder, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "VOCABULARY", 50)
+    texts = {r[0]: r[1] for r in rows}
     targets = {r[0] for r in rows if r[0] % 2 and r[0] % 5 > 0 and r[0] % 7}
-    texts = {r[0]: (r[1] or "").encode().lower().split() for r in rows}
-    counts = Counter(w for t in texts.values() for w in t)
-    vocabulary = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50]]
-    words = lm_scoring.Words([w.decode() for w in vocabulary])
-    models = []
-    for ids in (targets, set(texts)):
-        grams, unis, contexts = Counter(), Counter(), Counter()
-        for i in ids:
-            before = 51
-            for w in texts[i]:
-                now = words.ids.get(w, 0)
-                grams[int(words.bucket(np.array([before]), np.array([now]))[0])] += 1
-                unis[now] += 1
-                contexts[before] += 1
-                before = now
-        models.append((grams, unis, contexts, sum(unis.values())))
-    found = {r.doc_id: r for r in catalogue.QUERIES["op9_lm_scoring"](spark, folder).collect()}
-    assert len(found) == len(rows)
-    for i, text in texts.items():
-        if not text:
-            assert found[i].n_tokens == 0 and found[i].score is None
-            continue
-        losses = []
-        for grams, unis, contexts, total in models:
-            loss, before = 0.0, 51
-            for w in text:
-                now = words.ids.get(w, 0)
-                uni = (unis[now] + 0.5) / (total + 0.5 * 51)
-                seen = min(grams[int(words.bucket(np.array([before]), np.array([now]))[0])], contexts[before], unis[now])
-                loss -= math.log((seen + 10 * uni) / (contexts[before] + 10))
-                before = now
-            losses.append(loss / len(text))
-        assert found[i].n_tokens == len(text) and math.isclose(found[i].target_loss, losses[0], rel_tol=1e-9) and math.isclose(found[i].score, losses[0] - losses[1], rel_tol=1e-6, abs_tol=1e-9)
+    truth = brute_scores(texts, targets)
+    for size, bound in ((lm_scoring.BATCH_BYTES, 10), (5000, 0)):
+        monkeypatch.setattr(lm_scoring, "BATCH_BYTES", size)
+        monkeypatch.setattr(lm_scoring, "BROADCAST_TARGETS", bound)
+        found = {r.doc_id: r for r in catalogue.QUERIES["op9_lm_scoring"](spark, folder).collect()}
+        assert found.keys() == truth.keys()
+        for i, (n, target, background) in truth.items():
+            r = found[i]
+            assert r.n_tokens == n and (n > 0 or r.score is None)
+            assert n == 0 or (math.isclose(r.target_loss, target, rel_tol=1e-9) and math.isclose(r.background_loss, background, rel_tol=1e-9) and math.isclose(r.score, target - background, rel_tol=1e-6, abs_tol=1e-9))
+
+
+def test_large_counts_are_packed():
+    values = np.array([0, 1, 65_534, 65_535, 65_536, 10**12, 3])
+    assert lm_scoring.unpack_counts(lm_scoring.pack_counts(values), 7).tolist() == values.tolist()
 
 
 def test_lm_edges(spark):
