@@ -8,11 +8,12 @@ after another is (c(v, w) + m p(w)) / (c(v) + m), p(w) = (c(w) + m q(w)) / (n +
 the share of w in the whole corpus; a text starts after a sign of its own. A document's score is its mean loss per
 token under the target model less that under the background model; the lower, the more it reads like the target.
 
-Texts are read once and cut into batches. A batch deals the hashes of its distinct words and pairs, with how often it
+Texts are cut into batches as they are read. A batch deals the hashes of its distinct words and pairs, with how often it
 has them, to partitions by hash; a partition adds up the batches and sends each batch the sums for its own keys, in
-its own order. These meet the batch's words (three bytes each), which don't leave it otherwise, and its documents are
-scored. No model stands in one place, and nothing but totals comes to the driver. A hot word or pair is one key of each
-batch. Texts are only shuffled to tell the target ones apart where there are too many targets for a broadcast.
+its own order. These meet the batch's words (three bytes each), cut the same way from a second scan, and its documents
+are scored. No model stands in one place, and nothing but totals comes to the driver. A hot word or pair is one key of
+each batch. Batches are known by scan partition and place in it, with a checksum that fails the job if the scans ever
+differ. Texts are only shuffled, and then written once for both scans, where there are too many targets for a broadcast.
 
 Keys are compared by 40 bits inside a partition: about one of its million keys meets another by chance.
 
@@ -24,17 +25,17 @@ all words; rows that repeat are counted and scored each; an empty table gives no
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import columns_of, slices
+from loomwork.llm.common import WORD, columns_of, slices
 from loomwork.llm.ngram_join import KEY_BITS, pack, runs, unpack
 from loomwork.llm.substring_dedup import mixed
 from loomwork.session import ship, stored
@@ -42,7 +43,7 @@ from loomwork.session import ship, stored
 #: Weight of the chance that a count is smoothed by.
 SMOOTHING = 10.0
 #: Text bytes of a batch, which bounds a worker's memory; and those whose words and pairs one partition adds up.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 5_000_000
 PARTITION_BYTES = 16_000_000
 LEAST_PARTITIONS = 64
 #: Target ids up to which they are broadcast (about 40 bytes each).
@@ -94,46 +95,61 @@ class Batch:
         return np.concatenate([words, np.bincount(pair, minlength=len(self.order) - self.words)])[self.order]
 
 
-DEALT = "batch bigint, p int, at int, n int, keys binary, totals binary, targets binary, ids array<{}>, sizes binary, n_tokens bigint, n_target bigint"
-ANSWER = "batch bigint, at int, n int, totals binary, targets binary"
+DEALT = "batch bigint, seal bigint, p int, at int, n int, keys binary, totals binary, targets binary"
+ANSWER = "batch bigint, seal bigint, at int, n int, totals binary, targets binary"
+#: A batch itself: its tokens of three bytes, the hashes of its words, ids and sizes of its texts.
+HOME = "batch bigint, seal bigint, tokens binary, hashes binary, ids array<{}>, sizes binary"
+
+
+def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each batch its name and seal, its rows, and the ids of its words, sizes of its texts and hashes of its words."""
+    place = TaskContext.get().partitionId() << 32
+    for number, given in enumerate(slices(batches, limit=BATCH_BYTES)):
+        known: dict[bytes, int] = {}
+        ids, sizes = [], []
+        for text in given.column("text").to_pylist():
+            words = lowered(text)
+            sizes.append(len(words))
+            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+        hashes = np.fromiter((*map(xxhash.xxh3_64_intdigest, known), _START), np.uint64, len(known) + 1)
+        ids, sizes = np.concatenate(ids).astype(np.int64), np.array(sizes, np.int64)
+        seal = xxhash.xxh3_64_intdigest(hashes.tobytes() + sizes.tobytes()) - (1 << 63)
+        yield {"batch": place + number, "seal": seal}, given, ids, sizes, hashes
 
 
 def emit_dealt(partitions: int, schema: pa.Schema):
-    """Rows of each batch: its keys and counts for each partition, and the batch itself (p = -1): tokens of three bytes
-    as keys, hashes of its words as totals, ids and sizes of its texts."""
+    """A row of each batch for each partition: its keys there and how often all texts and the target ones have them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for given in slices(batches, limit=BATCH_BYTES):
-            known: dict[bytes, int] = {}
-            ids, sizes = [], []
-            for text in given.column("text").to_pylist():
-                words = lowered(text)
-                sizes.append(len(words))
-                ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
-            sizes = np.array(sizes, np.int64)
-            hashes = np.fromiter((*map(xxhash.xxh3_64_intdigest, known), _START), np.uint64, len(known) + 1)
-            batch = Batch(np.concatenate(ids), sizes, hashes, partitions)
+        for name, given, ids, sizes, hashes in encoded(batches):
+            batch = Batch(ids, sizes, hashes, partitions)
             target = np.repeat(given.column("target").to_numpy(zero_copy_only=False).astype(bool), sizes)
             totals, targets = batch.counts(), batch.counts(target)
-            name = uuid.uuid4().int >> 65
             rows = [
-                {"batch": name, "p": int(batch.part[s]), "at": s, "n": c, "keys": pack(batch.keys[s : s + c]), "totals": pack_counts(totals[s : s + c]), "targets": pack_counts(targets[s : s + c])}
+                name | {"p": int(batch.part[s]), "at": s, "n": c, "keys": pack(batch.keys[s : s + c]), "totals": pack_counts(totals[s : s + c]), "targets": pack_counts(targets[s : s + c])}
                 for s, c in zip(*(x.tolist() for x in runs(batch.part)), strict=True)
             ]
-            tokens = np.ascontiguousarray(batch.ids.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-            home = {"batch": name, "p": -1, "keys": tokens, "totals": hashes.tobytes(), "ids": given.column("id").to_pylist(), "sizes": sizes.astype("<u4").tobytes()}
-            rows.append(home | {"n_tokens": len(target), "n_target": int(target.sum())})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return emit
 
 
+def emit_homes(schema: pa.Schema):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, given, ids, sizes, hashes in encoded(batches):
+            tokens = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+            home = {"tokens": tokens, "hashes": hashes.tobytes(), "ids": given.column("id").to_pylist(), "sizes": sizes.astype("<u4").tobytes()}
+            yield pa.RecordBatch.from_pylist([name | home], schema=schema)
+
+    return emit
+
+
 def add_up(table: pa.Table) -> pa.Table:
     """The sums of one partition, for each batch in its own order."""
     sizes = table.column("n").to_pylist()
     keys = unpack(b"".join(table.column("keys").to_pylist()))
     _, key = np.unique(keys, return_inverse=True)
-    out = {"batch": table.column("batch"), "at": table.column("at"), "n": table.column("n")}
+    out = {k: table.column(k) for k in ("batch", "seal", "at", "n")}
     ends = np.cumsum(sizes)
     for name in ("totals", "targets"):
         mine = np.concatenate([unpack_counts(b, n) for b, n in zip(table.column(name).to_pylist(), sizes, strict=True)])
@@ -165,17 +181,24 @@ def score_batch(partitions: int, n_tokens: int, n_target: int, kind: pa.DataType
     scales = (size / n_target if n_target else 0.0, size / n_other if n_other else 0.0)
 
     def score(table: pa.Table) -> pa.Table:
-        home = pc.equal(table.column("p"), -1)
-        mine = table.filter(home).to_pylist()[0]
-        narrow = np.frombuffer(mine["keys"], np.uint8).reshape(-1, 3)
+        home = pc.is_valid(table.column("tokens"))
+        found = table.filter(home).to_pylist()
+        if len(found) != 1 or len(pc.unique(table.column("seal"))) != 1:
+            raise RuntimeError("the scans of the texts differ")
+        mine = found[0]
+        narrow = np.frombuffer(mine["tokens"], np.uint8).reshape(-1, 3)
         wide = np.zeros((len(narrow), 4), np.uint8)
         wide[:, :3] = narrow
         sizes = np.frombuffer(mine["sizes"], "<u4").astype(np.int64)
-        batch = Batch(wide.view("<u4").reshape(-1).astype(np.int64), sizes, np.frombuffer(mine["totals"], np.uint64), partitions)
+        batch = Batch(wide.view("<u4").reshape(-1).astype(np.int64), sizes, np.frombuffer(mine["hashes"], np.uint64), partitions)
         sums = np.zeros((2, len(batch.order)), np.int64)
+        known = 0
         for row in table.filter(pc.invert(home)).select(["at", "n", "totals", "targets"]).to_pylist():
             at = slice(row["at"], row["at"] + row["n"])
             sums[0, at], sums[1, at] = unpack_counts(row["totals"], row["n"]), unpack_counts(row["targets"], row["n"])
+            known += row["n"]
+        if known != len(batch.order):
+            raise RuntimeError("the scans of the texts differ")
         share = np.empty(len(batch.order))
         share[batch.order] = sums[0] / max(1, n_tokens)
         share = share[: batch.words]
@@ -199,22 +222,22 @@ def score_documents(df: DataFrame, targets: DataFrame, id_column: str = "doc_id"
     spark = df.sparkSession
     ship(spark)
     rows = columns_of(df, id=id_column, text=text_column)
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
-    partitions = max(LEAST_PARTITIONS, math.ceil(size / PARTITION_BYTES))
     chosen = columns_of(targets, id=target_column).filter("id is not null").distinct().withColumn("target", F.lit(True))
-    if chosen.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
-        chosen = F.broadcast(chosen)
-    told = rows.join(chosen, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    few = chosen.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS
+    told = rows.join(F.broadcast(chosen) if few else chosen, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    if not few:
+        told = stored(told, "lm-scoring")
+    words = F.regexp_count("text", F.lit(WORD)).cast("bigint")
+    size = told.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(words).alias("n_tokens"), F.sum(F.when(F.col("target"), words)).alias("n_target")).first()
+    partitions = max(LEAST_PARTITIONS, math.ceil((size.bytes or 0) / PARTITION_BYTES))
+
+    def arrow(schema: str) -> pa.Schema:
+        return to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     id_type = rows.schema["id"].dataType
-    dealt_type = DEALT.format(id_type.simpleString())
-    arrow = to_arrow_schema(spark.createDataFrame([], dealt_type).schema)
-    dealt = stored(told.mapInArrow(emit_dealt(partitions, arrow), dealt_type), "lm-scoring")
-    homes = dealt.filter("p = -1")
-    totals = homes.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_target").alias("n_target")).first()
-
-    sums = dealt.filter("p >= 0").select("batch", "p", "at", "n", "keys", "totals", "targets").groupBy("p").applyInArrow(add_up, ANSWER)
-    met = homes.drop("n_tokens", "n_target").unionByName(sums.withColumn("p", F.lit(0)), allowMissingColumns=True)
-    score = score_batch(partitions, totals.n_tokens or 0, totals.n_target or 0, to_arrow_type(id_type))
+    home = HOME.format(id_type.simpleString())
+    sums = told.mapInArrow(emit_dealt(partitions, arrow(DEALT)), DEALT).groupBy("p").applyInArrow(add_up, ANSWER)
+    met = told.mapInArrow(emit_homes(arrow(home)), home).unionByName(sums, allowMissingColumns=True)
+    score = score_batch(partitions, size.n_tokens or 0, size.n_target or 0, to_arrow_type(id_type))
     scored = met.groupBy("batch").applyInArrow(score, f"id {id_type.simpleString()}, n_tokens bigint, target_loss double, background_loss double, score double")
     return scored.withColumnRenamed("id", id_column)
