@@ -1,17 +1,18 @@
 """String dictionaries: codes from 0 in the order in which values first appear.
 
 A dictionary is a DataFrame (value, code) of the distinct values. Building one takes a map-side combined aggregate and
-a sort of the distinct values; encoding is an equi-join that broadcasts only dictionaries of a checked size.
+a numbering of the distinct values by ranges; encoding is an equi-join that broadcasts only dictionaries of a checked size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Entries up to which a dictionary is broadcast.
-BROADCAST_ENTRIES = 1_000_000
+from loomwork.operators import rows
+
+#: Bytes of values, with 16 for each entry, up to which a dictionary is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def build(df: DataFrame, column: str, order: str, least_count: int = 1, most_entries: int | None = None) -> DataFrame:
@@ -23,11 +24,14 @@ def build(df: DataFrame, column: str, order: str, least_count: int = 1, most_ent
     found = found.filter(F.col("n") >= least_count)
     if most_entries is not None:
         found = found.orderBy(F.desc("n"), "first").limit(most_entries)
-    return found.select("value", (F.row_number().over(W.orderBy("first", "value")) - 1).cast("int").alias("code"))
+    return rows.row_ids(found.select("value", "first"), ["first", "value"], "code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def _side(dictionary: DataFrame) -> DataFrame:
-    return F.broadcast(dictionary) if dictionary.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else dictionary
+    """A dictionary as a join side, computed once: it is kept for the check of its size and the join."""
+    dictionary = dictionary.persist()
+    size = dictionary.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in dictionary.columns), F.lit(16)))).first()[0] or 0
+    return F.broadcast(dictionary) if size <= BROADCAST_BYTES else dictionary
 
 
 def encode(df: DataFrame, column: str, dictionary: DataFrame, code: str = "code") -> DataFrame:

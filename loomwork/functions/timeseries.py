@@ -90,13 +90,16 @@ def on_grid(df: DataFrame, time: str, frequency: Frequency, keys: list[str] | No
 def fill(df: DataFrame, time: str, columns: list[str], method: str, keys: list[str] | None = None) -> DataFrame:
     """Nulls filled by the value before, the value after, the line between both, zero or NaN.
 
-    Forward leaves leading nulls, backward trailing ones, linear both.
+    Forward leaves leading nulls, backward trailing ones, linear both. One series without keys is windowed by calendar
+    day; what reaches over a day comes from one row of each day.
     """
     if method not in FILLS:
         raise InvalidArgument(f"unknown fill {method}")
+    out, seconds = {}, micros(F.col(time)) / 1e6
+    if not keys and method in ("forward", "backward", "linear"):
+        return _filled_by_day(df, time, columns, method)
     by = W.partitionBy(*(keys or [])).orderBy(time)
     before, after = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(0, W.unboundedFollowing)
-    out, seconds = {}, micros(F.col(time)) / 1e6
     for c in columns:
         value = F.col(c)
         if method == "forward":
@@ -113,6 +116,32 @@ def fill(df: DataFrame, time: str, columns: list[str], method: str, keys: list[s
     return df.withColumns(out)
 
 
+def _filled_by_day(df: DataFrame, time: str, columns: list[str], method: str) -> DataFrame:
+    day = F.date_trunc("day", F.col(time))
+    cut = df.withColumn("_day", day)
+    known = {c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col(time).alias("t"), F.col(f"`{c}`").alias("v"))) for c in columns}
+    ends = cut.groupBy("_day").agg(*(F.max(k).alias(f"_last_{i}") for i, k in enumerate(known.values())), *(F.min(k).alias(f"_first_{i}") for i, k in enumerate(known.values())))
+    # One row for each day.
+    days = W.orderBy("_day")
+    carried = [F.last(f"_last_{i}", ignorenulls=True).over(days.rowsBetween(W.unboundedPreceding, -1)).alias(f"_before_{i}") for i in range(len(columns))]
+    carried += [F.first(f"_first_{i}", ignorenulls=True).over(days.rowsBetween(1, W.unboundedFollowing)).alias(f"_after_{i}") for i in range(len(columns))]
+    joined = cut.join(ends.select("_day", *carried).withColumnRenamed("_day", "_of"), F.col("_day").eqNullSafe(F.col("_of")), "left")
+    inside = W.partitionBy("_day").orderBy(time)
+    out = {}
+    for i, (c, here) in enumerate(known.items()):
+        left = F.coalesce(F.last(here, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col(f"_before_{i}"))
+        right = F.coalesce(F.first(here, ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing)), F.col(f"_after_{i}"))
+        if method == "forward":
+            out[c] = left["v"]
+        elif method == "backward":
+            out[c] = right["v"]
+        else:
+            at, low, high = (micros(t) / 1e6 for t in (F.col(time), left["t"], right["t"]))
+            from_, to = left["v"].cast("double"), right["v"].cast("double")
+            out[c] = F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`").cast("double")).otherwise(from_ + (to - from_) * (at - low) / (high - low))
+    return joined.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in df.columns))
+
+
 def steps(df: DataFrame, time: str, keys: list[str] | None = None, order: list[str] | None = None, bucket: str = "day") -> DataFrame:
     """``df`` with ``step``: microseconds since the series' row before.
 

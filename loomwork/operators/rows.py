@@ -33,10 +33,20 @@ def relabel(df: DataFrame, schema: T.StructType | list[str], cast: bool = False)
     return renamed.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema)) if cast else renamed
 
 
+#: Rows up to which a slice's end is found by a top-k sort, which brings so many rows to one task.
+TOP_ROWS = 100_000
+
+
 def slice_rows(df: DataFrame, order: list[str], offset: int, length: int) -> DataFrame:
-    """``length`` rows from ``offset`` on in the order of ``order``: a bounded top-k sort, not a sort of all rows."""
+    """``length`` rows from ``offset`` on in the order of ``order``: a bounded top-k sort, or deeper down by row numbers.
+
+    Row numbers need an order without ties.
+    """
     if offset < 0 or length < 0:
         raise InvalidArgument("a slice starts at 0 or later and has no negative length")
+    if offset + length > TOP_ROWS:
+        numbered = row_ids(df, order, "_slice_row")
+        return numbered.filter((F.col("_slice_row") >= offset) & (F.col("_slice_row") < offset + length)).drop("_slice_row")
     return df.orderBy(*order).limit(offset + length).offset(offset)
 
 

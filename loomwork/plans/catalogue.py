@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from loomwork.functions import dictionary, strings, tensor, timeseries
 from loomwork.functions.timeseries import Frequency
-from loomwork.operators import encoders, predicates, relational, rows
+from loomwork.operators import encoders, predicates, registry, relational, rows
 from loomwork.operators.dataset import Dataset, DatasetBuilder
 from loomwork.operators.pipeline import Chain, Transform
 from loomwork.operators.predicates import Predicates, all_of, any_of, filter_rows, negate
@@ -238,20 +238,25 @@ def intern_stats(spark, folder):
 
 @query(
     "rope_ops",
-    """SELECT doc_id, substring(text, 1, 7) AS l, substring(text, 6, 10) AS sub, substring(text, 1, 5) || 'XY' || substring(text, 6, 15) AS ins,
-    substring(text, 1, 3) || substring(text, 9, 12) AS del, nullif(substring(text, 3, 1), '') AS ch, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents""",
+    """SELECT doc_id, substring(text, 1, 7) AS l, substring(text, 8) AS r, substring(text, 6, 10) AS sub, substring(text, 1, 5) || 'XY' || substring(text, 6) AS ins,
+    CASE WHEN length(text) <= 3 THEN text ELSE substring(text, 1, 3) || substring(text, 9) END AS del, nullif(substring(text, 3, 1), '') AS ch, CAST(strlen(text) AS BIGINT) AS n_bytes, length(text) AS n_chars,
+    text || source AS joined, text = '' AS empty FROM documents""",
 )
 def rope_ops(spark, folder):
     text = F.col("text")
-    short = strings.substring(text, 0, 20)
+    left, right = strings.split_at(text, 7)
     return load_table(spark, folder, "documents").select(
         "doc_id",
-        strings.split_at(text, 7)[0].alias("l"),
+        left.alias("l"),
+        right.alias("r"),
         strings.substring(text, 5, 15).alias("sub"),
-        strings.insert(short, 5, F.lit("XY")).alias("ins"),
-        strings.delete(short, 3, 8).alias("del"),
+        strings.insert(text, 5, F.lit("XY")).alias("ins"),
+        strings.delete(text, 3, 8).alias("del"),
         strings.char_at(text, 2).alias("ch"),
         strings.byte_length(text).cast("bigint").alias("n_bytes"),
+        strings.length(text).cast("bigint").alias("n_chars"),
+        strings.concat(text, F.col("source")).alias("joined"),
+        strings.is_empty(text).alias("empty"),
     )
 
 
@@ -287,59 +292,83 @@ def ts_series_metadata(spark, folder):
 
 @query(
     "ts_irregular_steps",
-    """SELECT event_id, ts FROM (SELECT event_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) AS d FROM events WHERE user_id = 8) t
+    """SELECT event_id, ts FROM (SELECT event_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) t
     WHERE d > 3600000000""",
 )
 def ts_irregular_steps(spark, folder):
-    series = load_table(spark, folder, "events").filter("user_id = 8")
-    return timeseries.irregular(series, "ts", Frequency.parse("1h"), ["user_id"], ["event_id"]).filter("step > 3600000000").select("event_id", "ts")
+    return timeseries.irregular(load_table(spark, folder, "events"), "ts", Frequency.parse("1h"), ["user_id"], ["event_id"]).filter("step > 3600000000").select("event_id", "ts")
 
 
-GRID = """SELECT g.h, o.v FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS h) g
-LEFT JOIN (SELECT date_trunc('hour', ts) AS h, min(event_id) AS v FROM events WHERE user_id = 8 GROUP BY 1) o ON g.h = o.h"""
-BEFORE, AFTER = "OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "OVER (ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+#: The hours of every user from the first to the last hour of the user, with the least event of each hour.
+GRID = """SELECT g.user_id, g.h, o.v FROM (SELECT user_id, unnest(generate_series(min(date_trunc('hour', ts)), max(date_trunc('hour', ts)), INTERVAL 1 HOUR)) AS h FROM events GROUP BY user_id) g
+LEFT JOIN (SELECT user_id, date_trunc('hour', ts) AS h, min(event_id) AS v FROM events GROUP BY 1, 2) o ON g.user_id = o.user_id AND g.h = o.h"""
+BEFORE, AFTER = (f"OVER (PARTITION BY user_id ORDER BY h ROWS BETWEEN {rows_})" for rows_ in ("UNBOUNDED PRECEDING AND CURRENT ROW", "CURRENT ROW AND UNBOUNDED FOLLOWING"))
 
 
 def hourly(spark, folder):
-    events = load_table(spark, folder, "events").filter("user_id = 8").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.min("event_id").alias("v"))
-    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-01 00:00:00", "2024-01-30 23:00:00"))
-    return timeseries.on_grid(events, "h", Frequency.parse("hourly"), start=start, end=end).select("h", "v")
+    events = load_table(spark, folder, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.min("event_id").alias("v"))
+    return timeseries.on_grid(events, "h", Frequency.parse("hourly"), ["user_id"]).select("user_id", "h", "v")
 
 
-@query("ts_grid", f"SELECT h, v FROM ({GRID}) t")
+def filled(spark, folder, method):
+    return timeseries.fill(hourly(spark, folder), "h", ["v"], method, ["user_id"])
+
+
+@query("ts_grid", f"SELECT user_id, h, v FROM ({GRID}) t")
 def ts_grid(spark, folder):
     return hourly(spark, folder)
 
 
-@query("ts_fill_forward", f"SELECT h, last_value(v IGNORE NULLS) {BEFORE} AS v FROM ({GRID}) t")
+@query("ts_fill_forward", f"SELECT user_id, h, last_value(v IGNORE NULLS) {BEFORE} AS v FROM ({GRID}) t")
 def ts_fill_forward(spark, folder):
-    return timeseries.fill(hourly(spark, folder), "h", ["v"], "forward")
+    return filled(spark, folder, "forward")
 
 
-@query("ts_fill_backward", f"SELECT h, first_value(v IGNORE NULLS) {AFTER} AS v FROM ({GRID}) t")
+@query("ts_fill_backward", f"SELECT user_id, h, first_value(v IGNORE NULLS) {AFTER} AS v FROM ({GRID}) t")
 def ts_fill_backward(spark, folder):
-    return timeseries.fill(hourly(spark, folder), "h", ["v"], "backward")
+    return filled(spark, folder, "backward")
 
 
-@query(
-    "ts_fill_linear",
-    f"""SELECT h, round(CASE WHEN v IS NOT NULL THEN v ELSE pv + (nv - pv) * (e - pe) / (ne - pe) END, 6) AS v FROM (
-    SELECT h, e, v, last_value(v IGNORE NULLS) {BEFORE} AS pv, first_value(v IGNORE NULLS) {AFTER} AS nv,
+LINEAR = f"""SELECT user_id, h, round(CASE WHEN v IS NOT NULL THEN v ELSE pv + (nv - pv) * (e - pe) / (ne - pe) END, 6) AS v FROM (
+    SELECT user_id, h, e, v, last_value(v IGNORE NULLS) {BEFORE} AS pv, first_value(v IGNORE NULLS) {AFTER} AS nv,
       last_value(ve IGNORE NULLS) {BEFORE} AS pe, first_value(ve IGNORE NULLS) {AFTER} AS ne
-    FROM (SELECT h, CAST(v AS DOUBLE) AS v, CAST(epoch(h) AS DOUBLE) AS e, CASE WHEN v IS NOT NULL THEN CAST(epoch(h) AS DOUBLE) END AS ve FROM ({GRID}) t) a) b""",
-)
+    FROM (SELECT user_id, h, CAST(v AS DOUBLE) AS v, CAST(epoch(h) AS DOUBLE) AS e, CASE WHEN v IS NOT NULL THEN CAST(epoch(h) AS DOUBLE) END AS ve FROM ({{}}) t) a) b"""
+
+
+@query("ts_fill_linear", LINEAR.format(GRID))
 def ts_fill_linear(spark, folder):
-    return timeseries.fill(hourly(spark, folder), "h", ["v"], "linear").select("h", F.round("v", 6).alias("v"))
+    return filled(spark, folder, "linear").select("user_id", "h", F.round("v", 6).alias("v"))
+
+
+#: One series without keys: the minutes of all events, with the least event of each.
+MINUTES = """SELECT 0 AS user_id, g.h, o.v FROM (SELECT unnest(generate_series(min(date_trunc('minute', ts)), max(date_trunc('minute', ts)), INTERVAL 1 MINUTE)) AS h FROM events) g
+LEFT JOIN (SELECT date_trunc('minute', ts) AS h, min(event_id) AS v FROM events GROUP BY 1) o ON g.h = o.h"""
+
+
+def minutely(spark, folder):
+    events = load_table(spark, folder, "events").groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("h")).agg(F.min("event_id").alias("v"))
+    return timeseries.on_grid(events, "h", Frequency.parse("minutely")).select("h", "v")
+
+
+@query("ts_fill_one_series", f"SELECT h, last_value(v IGNORE NULLS) {BEFORE} AS f, first_value(v IGNORE NULLS) {AFTER} AS b FROM ({MINUTES}) t")
+def ts_fill_one_series(spark, folder):
+    both = minutely(spark, folder).select("h", F.col("v").alias("f"), F.col("v").alias("b"))
+    return timeseries.fill(timeseries.fill(both, "h", ["f"], "forward"), "h", ["b"], "backward")
+
 
+@query("ts_fill_one_series_linear", f"SELECT h, v FROM ({LINEAR.format(MINUTES)})")
+def ts_fill_one_series_linear(spark, folder):
+    return timeseries.fill(minutely(spark, folder), "h", ["v"], "linear").select("h", F.round("v", 6).alias("v"))
 
-@query("ts_fill_zero", f"SELECT h, coalesce(v, 0) AS v FROM ({GRID}) t")
+
+@query("ts_fill_zero", f"SELECT user_id, h, coalesce(v, 0) AS v FROM ({GRID}) t")
 def ts_fill_zero(spark, folder):
-    return timeseries.fill(hourly(spark, folder), "h", ["v"], "zero")
+    return filled(spark, folder, "zero")
 
 
-@query("ts_fill_nan", f"SELECT h, isnan(coalesce(CAST(v AS DOUBLE), CAST('nan' AS DOUBLE))) AS gap FROM ({GRID}) t")
+@query("ts_fill_nan", f"SELECT user_id, h, isnan(coalesce(CAST(v AS DOUBLE), CAST('nan' AS DOUBLE))) AS gap FROM ({GRID}) t")
 def ts_fill_nan(spark, folder):
-    return timeseries.fill(hourly(spark, folder), "h", ["v"], "nan").select("h", F.isnan("v").alias("gap"))
+    return filled(spark, folder, "nan").select("user_id", "h", F.isnan("v").alias("gap"))
 
 
 # Tensors.
@@ -379,10 +408,35 @@ def sparse_coo(spark, folder):
     return sparse(spark, folder).select("vec_id", F.explode(cells).alias("c")).select("vec_id", "c.p", "c.x")
 
 
-@query("sparse_to_dense", "SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x : CASE WHEN abs(x) > 0.2 THEN 1 ELSE 0 END)) AS INT) AS nnz, CAST(len(embedding) AS INT) AS n FROM embeddings")
+@query("sparse_to_dense", "SELECT vec_id, CAST(p AS INT) AS p, CASE WHEN abs(x) > 0.2 THEN x ELSE 0 END AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding) AS x FROM embeddings) t")
 def sparse_to_dense(spark, folder):
     out = tensor.to_dense(F.col("s"), SHAPE, "coo", "float")["data"]
-    return sparse(spark, folder).select("vec_id", F.size(F.filter(out, lambda v: v != 0)).alias("nnz"), F.size(out).alias("n"))
+    return sparse(spark, folder).select("vec_id", F.posexplode(out).alias("p", "x"))
+
+
+@query(
+    "sparse_csr",
+    """SELECT vec_id, CAST(p AS INT) AS p, CASE WHEN abs(x) > 0.2 THEN x ELSE 0 END AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding) AS x FROM embeddings) t""",
+)
+def sparse_csr(spark, folder):
+    """Compressed rows made from the dense tensor by tensor.csr, and back."""
+    data = F.col("t")["data"]
+    kept = F.filter(F.transform(data, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda c: F.abs(c["v"]) > 0.2)
+    cells = tensors(spark, folder).select("vec_id", kept.alias("cells"))
+    indptr = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda r: F.size(F.filter("cells", lambda c: c["i"] < r * 8)))
+    parts = cells.select("vec_id", indptr.alias("indptr"), F.transform("cells", lambda c: c["i"] % 8).alias("indices"), F.transform("cells", lambda c: c["v"]).alias("values"))
+    made = parts.select("vec_id", tensor.csr(F.col("indptr"), F.col("indices"), F.col("values"), SHAPE).alias("s"))
+    return made.select("vec_id", F.posexplode(tensor.to_dense(F.col("s"), SHAPE, "csr", "float")["data"]).alias("p", "x"))
+
+
+@query("tensor_put_strides", "SELECT vec_id, CAST(7.5 AS FLOAT) AS x, embedding[1] AS first, 32 AS row_bytes, 4 AS cell_bytes, 256 AS n_bytes, false AS empty FROM embeddings")
+def tensor_put_strides(spark, folder):
+    changed = tensor.put(F.col("t"), SHAPE, [2, 3], F.lit(7.5).cast("float"))
+    strides = tensor.strides(changed, "float")
+    return tensors(spark, folder).select(
+        "vec_id", tensor.get(changed, SHAPE, [2, 3]).alias("x"), tensor.get(changed, SHAPE, [0, 0]).alias("first"), strides[0].cast("int").alias("row_bytes"), strides[1].cast("int").alias("cell_bytes"),
+        tensor.size_bytes(changed, "float").cast("int").alias("n_bytes"), tensor.is_empty(changed).alias("empty"),
+    )
 
 
 @query(
@@ -447,3 +501,98 @@ def ext_one_hot(spark, folder):
     events = load_table(spark, folder, "events").select("event_id", "event_type")
     hot = encoders.one_hot(events, "event_type", 10)
     return hot.select("event_id", "event_type_click", (1 - F.col("event_type_click")).alias("event_type_not"))
+
+
+@query("ext_left_join", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 400000 GROUP BY c.c_custkey")
+def ext_left_join(spark, folder):
+    customer, orders = load_table(spark, folder, "customer"), load_table(spark, folder, "orders").filter("o_totalprice > 400000")
+    return customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
+
+
+@query("ext_semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def ext_semi_join(spark, folder):
+    orders = load_table(spark, folder, "orders").filter("o_orderstatus = 'F'")
+    return load_table(spark, folder, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+@query("ext_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def ext_anti_join(spark, folder):
+    orders = load_table(spark, folder, "orders").filter("o_orderstatus = 'F'")
+    return load_table(spark, folder, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@query("ext_outer_join", "SELECT n.n_name, s.s_suppkey FROM (SELECT * FROM nation WHERE n_nationkey > 3) n FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON s.s_nationkey = n.n_nationkey")
+def ext_outer_join(spark, folder):
+    nation, supplier = load_table(spark, folder, "nation").filter("n_nationkey > 3"), load_table(spark, folder, "supplier").filter("s_acctbal > 0")
+    return nation.join(supplier.hint("merge"), F.col("s_nationkey") == F.col("n_nationkey"), "full").select("n_name", "s_suppkey")
+
+
+@query("ext_range_join", "SELECT p.p_partkey, CAST(r.low AS INT) AS low FROM part p JOIN (SELECT unnest(range(0, 50, 5)) AS low) r ON p.p_size >= r.low AND p.p_size < r.low + 7")
+def ext_range_join(spark, folder):
+    ranges = spark.range(10).select((F.col("id") * 5).cast("int").alias("low"), (F.col("id") * 5 + 7).cast("int").alias("high"))
+    return relational.range_join(load_table(spark, folder, "part"), ranges, "p_size", "low", "high", 7.0).select("p_partkey", "low")
+
+
+@query("ext_set_operations", "SELECT 'both' AS kind, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'one', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'any', k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)")
+def ext_set_operations(spark, folder):
+    a, b = load_table(spark, folder, "customer").select(F.col("c_nationkey").alias("k")), load_table(spark, folder, "supplier").select(F.col("s_nationkey").alias("k"))
+    named = [(a.intersect(b), "both"), (a.subtract(b), "one"), (a.union(b).distinct(), "any")]
+    parts = [df.select(F.lit(name).alias("kind"), "k") for df, name in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("ext_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def ext_distinct(spark, folder):
+    return load_table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+
+
+@query("ext_math", "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, p_size % 7 AS rest, round(power(p_size, 1.5), 6) AS pw, CAST(floor(p_retailprice / 10) AS BIGINT) AS tens, abs(p_size - 25) AS off FROM part")
+def ext_math(spark, folder):
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    return load_table(spark, folder, "part").select(
+        "p_partkey", F.round(F.sqrt(price), 6).alias("root"), (size % 7).alias("rest"), F.round(F.pow(size, 1.5), 6).alias("pw"), F.floor(price / 10).cast("bigint").alias("tens"), F.abs(size - 25).alias("off")
+    )
+
+
+@query("ext_dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, date_trunc('month', o_orderdate) AS start, CAST(date_diff('day', o_orderdate, TIMESTAMP '2002-01-01') AS INT) AS days, o_orderdate + INTERVAL 90 DAY AS due FROM orders")
+def ext_dates(spark, folder):
+    at = F.col("o_orderdate")
+    return load_table(spark, folder, "orders").select(
+        "o_orderkey", F.year(at).alias("y"), F.month(at).alias("m"), F.date_trunc("month", at).cast("timestamp_ntz").alias("start"), F.datediff(F.lit("2002-01-01").cast("date"), at.cast("date")).alias("days"), (at + F.expr("interval 90 days")).alias("due")
+    )
+
+
+@query("ext_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.none') IS NULL AS missing FROM events")
+def ext_json(spark, folder):
+    props = F.from_json("props", "k bigint")
+    return load_table(spark, folder, "events").select("event_id", props["k"].alias("k"), F.get_json_object("props", "$.none").isNull().alias("missing"))
+
+
+@query("ext_maps", "SELECT user_id, event_type AS kind, count(*) AS n FROM events GROUP BY user_id, event_type")
+def ext_maps(spark, folder):
+    counted = load_table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = counted.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("by_kind"))
+    return maps.select("user_id", F.explode(F.map_filter("by_kind", lambda _, n: n > 0)).alias("kind", "n"))
+
+
+STATEMENT = """SELECT n.n_name, count(*) AS suppliers, round(avg(s.s_acctbal), 4) AS balance FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey
+GROUP BY n.n_name HAVING count(*) > 0"""
+
+
+@query("ext_sql", STATEMENT.format(supplier="supplier", nation="nation"))
+def ext_sql(spark, folder):
+    return registry.run_sql(spark, STATEMENT, supplier=load_table(spark, folder, "supplier"), nation=load_table(spark, folder, "nation"))
+
+
+@query("registered_function", "SELECT p_partkey, p_size * 2 + 1 AS odd FROM part")
+def registered_function(spark, folder):
+    registry.register_function(spark, "odd_of", [("x", "int")], "int", "x * 2 + 1")
+    return load_table(spark, folder, "part").select("p_partkey", F.expr("odd_of(p_size)").alias("odd"))
+
+
+@query("registered_source", "SELECT n_name FROM nation WHERE n_regionkey = 1")
+def registered_source(spark, folder):
+    sources, transforms = registry.Registry("source"), registry.Registry("transform")
+    sources.register("tables", load_table)
+    transforms.register("region", lambda key: Transform(lambda df: df.filter(F.col("n_regionkey") == key).select("n_name")))
+    return transforms.create("region", 1).apply(sources.create("tables", spark, folder, "nation"))

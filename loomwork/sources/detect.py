@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.session import ship
+
 #: Formats by file extension.
 EXTENSIONS = {
     "csv": "csv",
@@ -76,18 +81,25 @@ def path_format(path: Column) -> Column:
     return F.when(last.isin(*GZIP), F.coalesce(chosen(inner, COMPRESSED), F.lit("gz"))).otherwise(chosen(last, EXTENSIONS))
 
 
+def head_of(path: str) -> bytes:
+    """The first bytes of a file, on whatever file system its name says."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with system.open_input_stream(at) as file:
+        return file.read(HEAD)
+
+
 def detect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, format) of files, from their names or else their first bytes."""
-    files = spark.read.format("binaryFile").load(paths)
-    head = F.substring("content", 1, HEAD)
-    text = F.hex(head)
-    by_bytes = (
-        F.when(F.octet_length(head) < 4, "binary")
-        .when(text.startswith(b"PAR1".hex().upper()), "parquet")
-        .when(text.startswith(b"ARROW1".hex().upper()), "arrow")
-        .when(text.startswith("1F8B"), "gz")
-        .when(text.startswith("7B") | text.startswith("5B"), "json")
-        .when(F.regexp_count(text, F.lit("^(..)*2C")) > 0, "csv")
-        .otherwise("binary")
-    )
-    return files.select("path", F.coalesce(path_format(F.col("path")), by_bytes).alias("format"))
+    """(path, format) of files, from their names or else their first bytes: only those are read."""
+    ship(spark)
+    files = spark.read.format("binaryFile").load(paths).select("path", path_format(F.col("path")).alias("format"))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [named or format_of_bytes(head_of(path)) for path, named in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "format"])
+
+    return files.mapInArrow(opened, "path string, format string")
