@@ -41,6 +41,15 @@ def columns_of(df: DataFrame, **named: str) -> DataFrame:
     return df.select(*(F.col(f"`{column}`").alias(name) for name, column in named.items()))
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """What tells rows apart: 128 bits of hash of id and text."""
+    return F.struct(F.xxhash64(id_, text).alias("a"), F.xxhash64(text, id_).alias("b"))
+
+
+#: The type of row_key() in schemas.
+ROW_KEY = "struct<a: bigint, b: bigint>"
+
+
 def word_array(text: Column) -> Column:
     """The words of a text as an array, natively; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

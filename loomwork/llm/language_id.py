@@ -44,6 +44,8 @@ SWITCH = 0.25
 ROUNDS = 25
 STEP = 0.3
 DECAY = 1e-3
+#: Letters (an even number) from which a word is scored piece by piece; lexicons have no such words.
+LONG_WORD = 4_096
 #: Words that a worker keeps scores of before it starts anew.
 CACHE_WORDS = 600_000
 
@@ -51,11 +53,11 @@ CACHE_WORDS = 600_000
 def letters_of(word: bytes) -> str:
     """The word lower-cased without what stands before its first and after its last letter; empty without a letter."""
     text = word.decode().lower()
-    while text and not text[0].isalpha():
-        text = text[1:]
-    while text and not text[-1].isalpha():
-        text = text[:-1]
-    return text
+    if text.isalpha():
+        return text
+    first = next((i for i, c in enumerate(text) if c.isalpha()), len(text))
+    last = next((i for i in range(len(text) - 1, first - 1, -1) if text[i].isalpha()), first - 1)
+    return text[first : last + 1]
 
 
 def features(word: str) -> list[int]:
@@ -86,8 +88,24 @@ class Field:
     def places(self, word: str) -> list[int]:
         return features(word) + [lexicon_place(i) for i, lexicon in enumerate(self.lexicons) if word in lexicon]
 
+    def long_scores(self, word: str) -> np.ndarray:
+        """The same as scores() of one word, piece by piece, so that memory doesn't grow with it."""
+        framed, crc = f"^{word}$".encode("utf-16-le"), zlib.crc32
+        inner = framed[2:-2]
+        total = self.weights[[f % TABLE for f in (crc(inner, 7), *(crc(inner[:k], 1) for k in (2, 4, 6)), *(crc(inner[-k:], 2) for k in (2, 4, 6)))]].sum(axis=0)
+        for size, kind in ((4, 3), (6, 4)):
+            for s in range(0, len(framed) - size + 1, LONG_WORD):
+                total += self.weights[[crc(framed[i : i + size], kind) % TABLE for i in range(s, min(s + LONG_WORD, len(framed) - size + 1), 2)]].sum(axis=0)
+        return total
+
     def scores(self, words: list[str]) -> np.ndarray:
         """The languages' scores of each word."""
+        if any(len(w) > LONG_WORD for w in words):
+            out = np.empty((len(words), len(self.languages)))
+            short = np.array([len(w) <= LONG_WORD for w in words])
+            out[short] = self.scores([w for w in words if len(w) <= LONG_WORD])
+            out[~short] = [self.long_scores(w) for w in words if len(w) > LONG_WORD]
+            return out
         places = [self.places(w) for w in words]
         if not words:
             return np.zeros((0, len(self.languages)))
@@ -153,13 +171,14 @@ def train(rows: list[tuple[str, str]]) -> Field | None:
     texts, labels, counts = [], [], [Counter() for _ in languages]
     for text, lang in rows:
         words = [w for w in map(letters_of, words_of(text)) if w]
+        words = [w for w in words if len(w) <= LONG_WORD]
         if words:
             texts.append([known.setdefault(w, len(known)) for w in words])
             labels.append(languages.index(lang))
             counts[labels[-1]].update(words)
     if not texts:
         return None
-    lexicons = [{w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]} for c in counts]
+    lexicons = [{w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS] if len(w) <= LONG_WORD} for c in counts]
     n = len(languages)
     field = Field(languages, lexicons, np.zeros((TABLE + n, n)), np.zeros((n, n)), np.zeros(n))
     places = [field.places(w) for w in known]

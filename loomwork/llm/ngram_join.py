@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import columns_of, slices
+from loomwork.llm.common import ROW_KEY, columns_of, row_key, slices
 from loomwork.llm.components import components
 from loomwork.llm.substring_dedup import Spans, mixed, word_hashes
 from loomwork.session import checkpointed, ship
@@ -407,9 +407,9 @@ def compared(kept: DataFrame, labels: DataFrame, counts_only: bool) -> DataFrame
 def shingled_classes(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each row's class (c1, c2) and n, the classes that others can be similar to, and the components (node, label)."""
     ship(df.sparkSession)
-    rows = columns_of(df, id=id_column, text=text_column).withColumn("text_row", F.xxhash64("id", "text"))
+    rows = columns_of(df, id=id_column, text=text_column).withColumn("text_row", row_key(F.col("id"), F.col("text")))
     kind = rows.schema["id"].dataType.simpleString()
-    stats = checkpointed(rows.mapInArrow(emit_classes, f"id {kind}, text_row bigint, c1 bigint, c2 bigint, n bigint"))
+    stats = checkpointed(rows.mapInArrow(emit_classes, f"id {kind}, text_row {ROW_KEY}, c1 bigint, c2 bigint, n bigint"))
     total = stats.agg(F.sum("n")).first()[0] or 0
     partitions = max(LEAST_PARTITIONS, math.ceil(total / PARTITION_SHINGLES))
 
@@ -455,6 +455,6 @@ def one_of_each_group(df: DataFrame, id_column: str = "doc_id", text_column: str
     """The rows of ``df`` without near copies: of each group the row with the least id; rows without an id all stay."""
     groups = similar_groups(df, id_column, text_column)
     first = groups.filter(F.col(id_column).isNotNull()).groupBy("component_id").agg(F.min(F.struct(id_column, "text_row")).alias("first"))
-    rows = df.withColumn(ROW, F.xxhash64(id_column, text_column))
+    rows = df.withColumn(ROW, row_key(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")))
     chosen = rows.join(first.select(F.col("first.text_row").alias(ROW)), ROW).dropDuplicates([ROW]).select(*df.columns)
     return chosen.unionByName(df.filter(F.col(id_column).isNull()))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import columns_of, slices, words_of
+from loomwork.llm.common import ROW_KEY, columns_of, row_key, slices, words_of
 from loomwork.session import checkpointed, ship
 
 #: Words of a window, and of a vertex.
@@ -166,7 +166,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """
     ship(rows.sparkSession)
     id_kind = rows.schema["id"].dataType.simpleString()
-    edges = rows.select("id", "text", "row").filter("id is not null").mapInArrow(emit_edges, f"id {id_kind}, row bigint, vertex bigint, edge bigint, start bigint, windows bigint")
+    edges = rows.select("id", "text", "row").filter("id is not null").mapInArrow(emit_edges, f"id {id_kind}, row {ROW_KEY}, vertex bigint, edge bigint, start bigint, windows bigint")
 
     # The joins below get both sides by shuffles of their own, not by an aggregate's, so that hot vertices can be split.
     shared = edges.groupBy("vertex").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("vertex")
@@ -193,7 +193,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 
 def texts_by_row(df: DataFrame, id_column: str, text_column: str, **others: str) -> DataFrame:
     rows = columns_of(df, id=id_column, text=text_column, **others)
-    return rows.withColumn("row", F.xxhash64("id", "text"))
+    return rows.withColumn("row", row_key(F.col("id"), F.col("text")))
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions of each URL against rules, by short hash prefixes.
 
-Every URL is expanded into the expressions a rule could be written as: each suffix of its host at a label boundary with
-each prefix of its path that is as long as some rule's path. Expressions meet rules in an equi-join on the first
+Every URL is expanded into the expressions a rule could be written as: each suffix of its host that has as many labels
+as some rule's host with each prefix of its path that is as long as some rule's path. Expressions meet rules in an equi-join on the first
 32 bits of their SHA-256; the full digests confirm a meeting, and the longest rule wins (at equal length the longer
 host, then block). A URL that no rule fits gets the default verdict.
 
@@ -34,10 +34,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` as [a.b.c, b.c, c]; nothing for an empty host."""
+def host_suffixes(host: Column, counts: list[int]) -> Column:
+    """The suffixes of ``a.b.c`` that have one of ``counts`` labels; nothing for an empty host."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    fitting = F.filter(F.array(*map(F.lit, counts)), lambda n: n <= F.size(labels))
+    suffixes = F.transform(fitting, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     return F.filter(suffixes, lambda s: s != "")
 
 
@@ -50,26 +51,33 @@ def path_prefixes(path: Column, lengths: list[int]) -> Column:
 def rule_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Rules (action, host, path) as rows with their digests."""
     given = spark.createDataFrame([(a, h, p) for a, h, p in rules], "action string, rule_host string, rule_path string").dropDuplicates()
-    expression = F.concat(lower_ascii(F.col("rule_host")), F.col("rule_path"))
+    host = lower_ascii(F.col("rule_host"))
     return given.select(
         "action",
-        expression.alias("rule"),
+        F.concat(host, F.col("rule_path")).alias("rule"),
         F.length("rule_host").alias("host_length"),
         F.length("rule_path").alias("path_length"),
-        F.sha2(expression, 256).alias("rule_digest"),
+        F.size(F.split("rule_host", r"\.")).alias("host_labels"),
+        F.sha2(expression(host, F.col("rule_path")), 256).alias("rule_digest"),
     )
 
 
+def expression(host: Column, path: Column) -> Column:
+    """What is hashed: host and path, with where the one ends."""
+    return F.concat(F.length(host).cast("string"), F.lit(":"), host, path)
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow") -> DataFrame:
     """Per row of ``pages``: its id, host, path, the winning rule (null if none fits) and the verdict."""
     host, path = host_and_path(F.col("url"))
     urls = columns_of(pages, id=id_column, url=url_column).select("id", host.alias("host"), path.alias("path"))
-    sizes = rules.agg(F.count("*").alias("n"), F.collect_set("path_length").alias("lengths")).first()
+    sizes = rules.agg(F.count("*").alias("n"), F.collect_set("path_length").alias("lengths"), F.collect_set("host_labels").alias("labels")).first()
     if not sizes.n:
         return urls.select(F.col("id").alias(id_column), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     # Each distinct host and path is judged once, so repeated URLs are met by one row.
-    expressions = F.flatten(F.transform(host_suffixes(F.col("host")), lambda s: F.transform(path_prefixes(F.col("path"), sorted(sizes.lengths)), lambda p: F.concat(s, p))))
+    prefixes = path_prefixes(F.col("path"), sorted(sizes.lengths))
+    expressions = F.flatten(F.transform(host_suffixes(F.col("host"), sorted(sizes.labels)), lambda s: F.transform(prefixes, lambda p: expression(s, p))))
     expanded = urls.select("host", "path").distinct().select("host", "path", F.explode(expressions).alias("expression"))
     digests = expanded.select("host", "path", F.sha2("expression", 256).alias("digest"))
     keyed = rules.withColumn("prefix", F.substring("rule_digest", 1, DIGEST_PREFIX))

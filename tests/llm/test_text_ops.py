@@ -131,6 +131,9 @@ def test_url_filters(spark, monkeypatch):
         monkeypatch.setattr(url_filters, "BROADCAST_RULES", bound)
         found = url_filters.judge_urls(df, rules)
         assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in found.collect()) == expected
+    odd = spark.createDataFrame([(1, "http://orgx/a"), (2, "http://org" + "/x" * 3), (3, "http://" + "a." * 200_000 + "org/x"), (4, "http://a.org/" + "p" * 3_000_000)], "page_id int, url string")
+    pathless = url_filters.rule_table(spark, [("block", "org", "x"), ("block", "org", "/x"), ("allow", "a.org", "")])
+    assert sorted((r.page_id, r.verdict) for r in url_filters.judge_urls(odd, pathless).collect()) == [(1, "allow"), (2, "block"), (3, "allow"), (4, "allow")]
     assert url_filters.judge_urls(df, rules.limit(0)).filter("verdict = 'allow' and rule is null").count() == len(expected)
     assert url_filters.judge_urls(df.limit(0), rules).count() == 0
 
@@ -159,6 +162,29 @@ def test_code_switching(field):
     assert [s["lang"] for s in spans[0]] == ["en", "fr", "de"] and spans[1:] == [[], []] and sizes.tolist() == [36, 0, 0]
 
 
+def test_long_words_are_linear(field):
+    """Words of millions of letters or other signs."""
+    import time
+
+    began = time.perf_counter()
+    assert language_id.letters_of(b"1" * 10_000_000) == "" and language_id.letters_of("1é2b-".encode()) == "é2b" and language_id.letters_of(b"--a" + b"!" * 1_000_000) == "a"
+    word = "maison" * 3000
+    assert np.allclose(field.long_scores(word[:4000]), field.scores([word[:4000]])[0])
+    assert field.scores(["house", word, "x" * 2_000_000]).shape == (3, 3) and time.perf_counter() - began < 30
+
+
+def test_held_out_accuracy(spark):
+    """The share of held-out documents of the tables whose language is predicted."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the tables aren't there")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language_id.identify_languages(docs, spans=False).filter("held_out and lang_pred != 'und'").join(docs.select("doc_id", "lang"), "doc_id")
+    right, n = found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double")), F.count("*")).first()
+    assert n > 150 and right > 0.98
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     scores, move, first = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
