@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.errors import InvalidArgument
+
 #: Settings the engine is written for. AQE splits skewed joins and coalesces small partitions.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,6 +19,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.timeType.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -37,22 +40,26 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir. A local session without one, as in tests, gets a temporary
+    folder; on a cluster that is an error, since executors wouldn't share it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise InvalidArgument("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwork-checkpoint-"))
     return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut; Spark removes the files when ``df`` is no longer used."""
+    """``df`` written to the shared folder, its lineage cut; with spark.cleaner.referenceTracking.cleanCheckpoints, as in
+    SETTINGS, Spark removes the files when ``df`` is no longer used."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
+    """``df`` written as Parquet to the shared folder and read again. The files stay: the caller's application owns them."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
