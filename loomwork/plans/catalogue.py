@@ -13,6 +13,7 @@ from loomwork.operators import encoders, predicates, registry, relational, rows
 from loomwork.operators.dataset import Dataset, DatasetBuilder
 from loomwork.operators.pipeline import Chain, Transform
 from loomwork.operators.predicates import Predicates, all_of, any_of, filter_rows, negate
+from loomwork.plans import files
 from loomwork.session import load_table
 from loomwork.sources import detect
 from loomwork.sources.infer import kind_of, typed
@@ -596,3 +597,7 @@ def registered_source(spark, folder):
     sources.register("tables", load_table)
     transforms.register("region", lambda key: Transform(lambda df: df.filter(F.col("n_regionkey") == key).select("n_name")))
     return transforms.create("region", 1).apply(sources.create("tables", spark, folder, "nation"))
+
+
+QUERIES |= files.QUERIES
+ORACLE |= files.ORACLE
