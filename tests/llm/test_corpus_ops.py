@@ -499,7 +499,7 @@ def test_pipeline_edges(spark, tmp_path):
         spark.createDataFrame(kept, DOCS).withColumn("label", F.lit("x")).write.parquet(str(tmp_path / name / "documents.parquet"))
         spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
         found = corpus_pipeline.run(spark, str(tmp_path / name))
-        assert {r.doc_id for r in found.collect()} == ({None, 2} if kept else set()) and found.columns == ["doc_id", "text", "lang", "source", "n_chars", "label", "pass"]
+        assert {r.doc_id for r in found.collect()} == ({None, 2} if kept else set()) and found.columns == ["doc_id", "text", "lang", "source", "n_chars", "label", "pass", "shard"]
 
 
 def test_rest_needs_no_llm():
