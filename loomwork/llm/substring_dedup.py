@@ -1,15 +1,20 @@
-"""Substring dedup over a sampled de Bruijn graph of token k-mers.
-
-Vertices are token k-mers. Each window of 50 words owns the k-mer with the least hash in it, so equal windows own equal
-k-mers at equal places; the windows of a document that follow each other and own the same k-mer form an edge, the words
-from the first window's start to the last one's end. About one word in twenty starts an edge, and only edges are
-shuffled. Vertices found in one document alone are dropped by a join. A vertex through which all documents continue
-alike has one edge (nonbranching): an edge's occurrences after its first document compact into it and are repeated as
-a whole. Where a vertex branches, one occurrence of each of its edges is opened into its windows, and these meet window
-by window. Occurrences carry coordinates (document, first word) into their text, so that the last pass removes the words.
-Vertex and edge, or vertex and window, are compared by 128 bits of hash together.
-
-Hot passages are pre-aggregated before each shuffle (the first document by edge and window); joins on them are plain
+"""Substring dedup over the de Bruijn graph of token k-mers, k being the window of 50 words.
+
+Edges are the token k-mers, that is all windows of all texts; each joins the 49 words before its last with the 49 after
+its first. They are dealt by minimum substring partitioning: a window owns the 10 words with the least hash in it (its
+vertex here), so equal windows own equal words at equal places, and a document's windows that follow each other and own
+the same words travel as one run, keyed by vertex and hash. No window is left out, and only runs are shuffled.
+
+A join drops vertices of one document. What comes before and after a run gives its degrees: where its occurrences all
+continue alike, and all occurrences of the next run come from it, the two are nonbranching; a join of neighbours in the
+first document compacts such runs into paths (of PATH_RUNS runs at most, which bounds what a piece of a path ships). An
+occurrence of a path after its first document is one span. Where a vertex branches, one occurrence of each of its runs is
+opened into its windows, these meet window by window, and neighbouring ones that meet the same run become one span.
+
+Each span has coordinates, its own (row, first word) and its source's (run or path, offset). They are verified word for
+word: the words at the source travel to the span's text, and only words that agree with them are removed.
+
+Hot passages are pre-aggregated before each shuffle (the first document by run and window); joins on them are plain
 equi-joins that adaptive execution splits.
 
 Defined cases: a null text has no words; documents under 50 words are kept whole; a null id neither precedes nor
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import ROW_KEY, columns_of, row_key, slices, words_of
@@ -32,6 +37,8 @@ from loomwork.session import checkpointed, ship
 #: Words of a window, and of a vertex.
 WINDOW = 50
 KMER = 10
+#: Runs that a compacted path has at most; a longer one goes on as the next path.
+PATH_RUNS = 16
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -81,11 +88,12 @@ def least_kmer(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def edges_of(documents: list[list[bytes]]) -> dict[str, np.ndarray]:
-    """The edges of some documents: owner (index of the document), vertex, edge, start (first word), windows."""
+    """The runs of some documents: owner (index of the document), vertex, edge (its hash), start (first word), windows, and
+    the runs before and after it, masked at the ends of a document."""
     hashes, owner = word_hashes(documents)
     if len(hashes) < WINDOW:
         empty = np.zeros(0, np.int64)
-        return {k: empty for k in ("owner", "vertex", "edge", "start", "windows")}
+        return {k: empty for k in ("owner", "vertex", "edge", "start", "windows")} | {k: np.ma.array(empty) for k in ("before", "after")}
     spans, n = Spans(hashes), len(hashes)
     starts = np.arange(n - KMER + 1)
     kmers = spans.of(starts, starts + KMER)
@@ -99,12 +107,16 @@ def edges_of(documents: list[list[bytes]]) -> dict[str, np.ndarray]:
     begin, place = windows[first], vertex[first]
     edge = spans.of(begin, begin + count + WINDOW - 1) ^ (count * 64 + place - begin).astype(np.uint64)
     head = np.concatenate([[0], np.cumsum([len(d) for d in documents])])
+    edge = mixed(edge).view(np.int64)
+    first_of = np.diff(owner[begin], prepend=-1) != 0
     return {
         "owner": owner[begin],
         "vertex": kmers[place].view(np.int64),
-        "edge": mixed(edge).view(np.int64),
+        "edge": edge,
         "start": begin - head[owner[begin]],
         "windows": count,
+        "before": np.ma.array(np.roll(edge, 1), mask=first_of),
+        "after": np.ma.array(np.roll(edge, -1), mask=np.roll(first_of, -1)),
     }
 
 
@@ -113,7 +125,7 @@ def emit_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = edges_of([words_of(t) for t in batch.column("text").to_pylist()])
         owner = pa.array(found.pop("owner"))
         kept = {k: batch.column(k).take(owner) for k in ("id", "row")}
-        yield pa.RecordBatch.from_pydict(kept | {k: pa.array(v.astype(np.int64)) for k, v in found.items()})
+        yield pa.RecordBatch.from_pydict(kept | {k: pa.array(np.ma.getdata(v), pa.int64(), mask=np.ma.getmaskarray(v)) for k, v in found.items()})
 
 
 def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +147,28 @@ def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"id": ids} | {k: pa.array(np.concatenate(v)) for k, v in columns.items()})
 
 
+def emit_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the sources listed with each text, by vertex and edge."""
+    for batch in slices(batches, limit=2_000_000):
+        columns: dict[str, list] = {k: [] for k in ("vertex", "edge", "words")}
+        for text, sources in zip(batch.column("text").to_pylist(), batch.column("sources").to_pylist(), strict=True):
+            words = words_of(text)
+            for s in sources:
+                columns["vertex"].append(s["vertex"])
+                columns["edge"].append(s["edge"])
+                columns["words"].append(b" ".join(words[s["start"] : s["start"] + s["windows"] + WINDOW - 1]))
+        if columns["words"]:
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "words" else pa.int64()) for k, v in columns.items()})
+
+
 def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
-    """The words that no span of windows (start, windows) covers."""
+    """The words that no span (start, windows) covers, of those whose words are the ones at their source's offset."""
     covered = np.zeros(len(words) + 1, np.int64)
     for s in spans:
-        covered[s["start"]] += 1
-        covered[s["start"] + s["windows"] + WINDOW - 1] -= 1
+        end, length = s["start"] + s["windows"] + WINDOW - 1, s["windows"] + WINDOW - 1
+        if words[s["start"] : end] == s["words"].split()[s["offset"] : s["offset"] + length]:
+            covered[s["start"]] += 1
+            covered[end] -= 1
     keep = np.cumsum(covered)[:-1] == 0
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
@@ -148,8 +176,9 @@ def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
 def emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         n_words, n_removed, kept = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            words = words_of(text)
+        column = batch.column("spans")
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            words, spans = words_of(text), column[i].as_py()
             left = kept_words(words, spans) if spans else words
             n_words.append(len(words))
             n_removed.append(len(words) - len(left))
@@ -159,36 +188,74 @@ def emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(others | counts | {"text": batch.column("text")})
 
 
+def compacted(firsts: DataFrame) -> DataFrame:
+    """``firsts`` (the first occurrence of each run) with its path: pv, pe (the path's first run) and path_start.
+
+    A join pairs a run with the one before it in the first document; they are one path if neither branches there."""
+    left = firsts.select(F.col("first_row").alias("first_row"), (F.col("first_start") + F.col("windows")).alias("first_start"), F.col("one_after").alias("joined"))
+    linked = firsts.join(left.dropDuplicates(["first_row", "first_start"]), ["first_row", "first_start"], "left")
+    goes_on = F.coalesce(F.col("joined") & F.col("one_before"), F.lit(False))
+    along = Window.partitionBy("first_row").orderBy("first_start")
+    chains = linked.withColumn("chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(along))
+    inside = Window.partitionBy("first_row", "chain").orderBy("first_start")
+    pieces = chains.withColumn("piece", F.floor((F.row_number().over(inside) - 1) / PATH_RUNS))
+    head = F.first(F.struct("vertex", "edge", "first_start")).over(Window.partitionBy("first_row", "chain", "piece").orderBy("first_start"))
+    return pieces.withColumn("head", head).select(*firsts.columns, F.col("head.vertex").alias("pv"), F.col("head.edge").alias("pe"), F.col("head.first_start").alias("path_start"))
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(row, spans) of the texts with words to remove: spans of windows that start in an earlier document too.
 
-    ``rows`` comes from texts_by_row(). A span is (start, windows): its first word and its number of windows.
+    ``rows`` comes from texts_by_row(). A span is (start, windows, offset, words): its first word, its number of windows,
+    and the words of its source, which has it at the offset.
     """
     ship(rows.sparkSession)
     id_kind = rows.schema["id"].dataType.simpleString()
-    edges = rows.select("id", "text", "row").filter("id is not null").mapInArrow(emit_edges, f"id {id_kind}, row {ROW_KEY}, vertex bigint, edge bigint, start bigint, windows bigint")
+    kinds = f"id {id_kind}, row {ROW_KEY}, vertex bigint, edge bigint, start bigint, windows bigint, before bigint, after bigint"
+    edges = rows.select("id", "text", "row").filter("id is not null").mapInArrow(emit_edges, kinds)
 
     # The joins below get both sides by shuffles of their own, not by an aggregate's, so that hot vertices can be split.
     shared = edges.groupBy("vertex").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("vertex")
     edges = checkpointed(edges.join(checkpointed(shared), "vertex"))
 
-    # Nonbranching: an occurrence of an edge after its first document is repeated whole.
-    firsts = edges.groupBy("vertex", "edge").agg(F.min(F.struct("id", "row", "start", "windows")).alias("first"))
-    firsts = checkpointed(firsts.select("vertex", "edge", "first.*").withColumnRenamed("id", "first_id"))
-    known = edges.join(firsts.select("vertex", "edge", "first_id"), ["vertex", "edge"])
-    whole = known.filter("id > first_id").select("row", "start", "windows")
-
-    # Branching: one occurrence of each edge of such a vertex is opened into its windows. This join and the caller's
-    # deal the same columns by the same key within one query, so that Spark shuffles the texts once.
+    # Degrees: a run that ends its document says nothing about what follows it.
+    firsts = edges.groupBy("vertex", "edge").agg(
+        F.min(F.struct("id", "row", "start", "windows")).alias("first"),
+        F.max("id").alias("last_id"),
+        (F.min("before") == F.max("before")).alias("one_before"),
+        (F.min("after") == F.max("after")).alias("one_after"),
+    )
+    firsts = firsts.selectExpr("vertex", "edge", "first.id AS first_id", "first.row AS first_row", "first.start AS first_start", "first.windows AS windows", "last_id", "one_before", "one_after")
+    firsts = checkpointed(compacted(checkpointed(firsts)))
+
+    # Nonbranching: an occurrence of a path after its first document is repeated whole.
+    known = edges.select("id", "row", "vertex", "edge", "start").join(firsts.select("vertex", "edge", "first_id", "first_start", "windows", "pv", "pe", "path_start"), ["vertex", "edge"])
+    later = known.filter("id > first_id").withColumn("shift", F.col("start") - F.col("first_start"))
+    whole = later.groupBy("row", "pv", "pe", "path_start", "shift").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("windows")).alias("end"))
+    whole = whole.selectExpr("row", "pv AS vertex", "pe AS edge", "start", "end - start AS windows", "start - shift - path_start AS offset")
+
+    # Branching: one occurrence of each run of such a vertex is opened into its windows. The joins on rows here and the
+    # caller's deal the same columns by the same key within one query, so that Spark shuffles the texts once.
     branching = firsts.groupBy("vertex").agg(F.count("*").alias("n"), F.min("first_id").alias("low"), F.max("first_id").alias("high")).filter("n > 1 and low < high")
-    opened = firsts.join(branching.select("vertex"), "vertex", "left_semi").groupBy("row").agg(F.collect_list(F.struct("vertex", "edge", "start", "windows")).alias("edges"))
-    opened = checkpointed(opened)
-    windows = rows.join(opened, "row").mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, edge bigint, at bigint, window bigint")
-    earliest = windows.groupBy("vertex", "window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("vertex", "window", "low")
-    met = windows.join(earliest.repartition("window"), ["vertex", "window"]).filter("id > low").groupBy("vertex", "edge").agg(F.collect_set("at").alias("ats"))
-    parts = known.filter("id = first_id").join(met, ["vertex", "edge"]).select("row", F.explode("ats").alias("at"), "start")
-    parts = parts.select("row", (F.col("start") + F.col("at")).alias("start"), F.lit(1).cast("bigint").alias("windows"))
-    return whole.unionByName(parts).groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    opened = checkpointed(firsts.join(branching.select("vertex"), "vertex", "left_semi").selectExpr("first_row AS row", "vertex", "edge", "first_start AS start", "windows"))
+    listed = checkpointed(opened.groupBy("row").agg(F.collect_list(F.struct("vertex", "edge", "start", "windows")).alias("edges")))
+    windows = rows.join(listed, "row").mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, edge bigint, at bigint, window bigint")
+    earliest = windows.groupBy("vertex", "window").agg(F.min(F.struct("id", "edge", "at")).alias("source"), F.max("id").alias("high")).filter("source.id < high")
+    earliest = earliest.selectExpr("vertex", "window", "source.id AS low", "source.edge AS source", "source.at AS source_at")
+    met = windows.join(earliest.repartition("window"), ["vertex", "window"]).filter("id > low").withColumn("shift", F.col("source_at") - F.col("at"))
+    met = met.groupBy("vertex", "edge", "source", "shift").agg(F.sort_array(F.collect_set("at")).alias("ats")).select("vertex", "edge", "source", "shift", F.posexplode("ats").alias("i", "at"))
+    met = met.groupBy("vertex", "edge", "source", "shift", (F.col("at") - F.col("i")).alias("stretch")).agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    parts = known.filter("id = first_id").select("vertex", "edge", "row", "start").join(met, ["vertex", "edge"])
+    parts = parts.selectExpr("row", "vertex", "source AS edge", "start + at AS start", "n AS windows", "at + shift AS offset")
+
+    # The words at the sources: paths that a later document has, and opened runs.
+    paths = firsts.groupBy("first_row", "pv", "pe", "path_start").agg(F.max("last_id").alias("last_id"), F.min("first_id").alias("first_id"), F.max(F.col("first_start") + F.col("windows")).alias("end"))
+    paths = paths.filter("last_id > first_id").selectExpr("first_row AS row", "pv AS vertex", "pe AS edge", "path_start AS start", "end - path_start AS windows")
+    sources = paths.unionByName(opened).groupBy("row", "vertex", "edge", "start").agg(F.max("windows").alias("windows"))
+    sources = checkpointed(sources.groupBy("row").agg(F.collect_list(F.struct("vertex", "edge", "start", "windows")).alias("sources")))
+    texts = rows.join(sources, "row").mapInArrow(emit_sources, "vertex bigint, edge bigint, words binary")
+    spans = whole.unionByName(parts).join(texts, ["vertex", "edge"])
+    return spans.groupBy("row").agg(F.collect_set(F.struct("start", "windows", "offset", "words")).alias("spans"))
 
 
 def texts_by_row(df: DataFrame, id_column: str, text_column: str, **others: str) -> DataFrame:

@@ -170,6 +170,31 @@ def test_substring_edges(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substring_sources_are_verified():
+    words = [b"w%d" % i for i in range(120)]
+    right = {"start": 10, "windows": 21, "offset": 3, "words": b" ".join([b"x"] * 3 + words[10:80] + [b"y"])}
+    assert substring_dedup.kept_words(words, [right]) == words[:10] + words[80:]
+    for wrong in (right | {"offset": 4}, right | {"windows": 23}, right | {"words": right["words"].replace(b"w50", b"w5O")}):
+        assert substring_dedup.kept_words(words, [wrong]) == words
+
+
+def test_substring_paths(spark, monkeypatch):
+    """Copies compact into paths of whole passages; a branch ends a path; pieces of any length give the same result."""
+    rng = random.Random(8)
+    long = [f"s{i}" for i in range(3000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(long[500:900] + ["other"] + long[901:1500])), (4, " ".join(long[rng.randrange(2000) :])), (4, "x " * 900), (5, "x " * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["vertex", "edge", "first_row", "first_start", "windows", "one_before", "one_after"]
+    runs = spark.createDataFrame([(i, i, 7, i * 10, 10, i not in (0, 50), i not in (70, 99)) for i in range(100)], names).repartition(3)
+    paths = {r.vertex: r.pv for r in substring_dedup.compacted(runs).collect()}
+    heads = [0, 16, 32, 48, 50, 66, 71, 87]
+    assert paths == {i: max(h for h in heads if h <= i) for i in range(100)}
+    for size in (16, 1, 3):
+        monkeypatch.setattr(substring_dedup, "PATH_RUNS", size)
+        found = sorted((tuple(r) for r in substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=str)
+        assert found == brute_kept(rows) and sum(r[2] for r in found) > 3000
+
+
 # Decontamination.
 
 
