@@ -9,9 +9,9 @@ A join drops vertices of one document. What comes before and after a run gives i
 continue alike, and all occurrences of the next run come from it, the two are nonbranching; a join of neighbours in the
 first document compacts such runs into paths (of PATH_RUNS runs at most, which bounds what a piece of a path ships). An
 occurrence of a path after its first document is one span. Where a vertex branches, one occurrence of each of its runs is
-opened into its windows, and these meet window by window, by 128 bits of hash (vertex and window).
+opened into its windows, these meet window by window, and neighbouring ones that meet the same run become one span.
 
-A span of a path has coordinates, its own (row, first word) and its source's (path, offset). It is verified word for
+Each span has coordinates, its own (row, first word) and its source's (path or run, offset). It is verified word for
 word: the words at the source travel to the span's text, and only a span that agrees with them is removed. Rows are told
 apart by id and 64 bits of hash.
 
@@ -129,9 +129,9 @@ def emit_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the edges listed with each text: vertex, edge, offset in the edge and hash."""
+    """The windows of the runs listed with each text: vertex, number of the run, offset in the run and hash."""
     for batch in slices(batches, limit=2_000_000):
-        columns: dict[str, list] = {k: [] for k in ("vertex", "edge", "at", "window")}
+        columns: dict[str, list] = {k: [] for k in ("vertex", "run", "at", "window")}
         owner = []
         for i, (text, edges) in enumerate(zip(batch.column("text").to_pylist(), batch.column("edges").to_pylist(), strict=True)):
             spans = Spans(word_hashes([words_of(text)])[0])
@@ -139,7 +139,7 @@ def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.arange(e["windows"])
                 columns["at"].append(at)
                 columns["window"].append(spans.of(e["start"] + at, e["start"] + at + WINDOW).view(np.int64))
-                for k in ("vertex", "edge"):
+                for k in ("vertex", "run"):
                     columns[k].append(np.full(len(at), e[k], np.int64))
                 owner.append(np.full(len(at), i))
         if owner:
@@ -162,11 +162,11 @@ def emit_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
-    """The words that no span (start, windows) covers; a span with its source's words has to agree with them at the offset."""
+    """The words that no span (start, windows) covers, of those whose words are the ones at their source's offset."""
     covered = np.zeros(len(words) + 1, np.int64)
     for s in spans:
         end, length = s["start"] + s["windows"] + WINDOW - 1, s["windows"] + WINDOW - 1
-        if s["words"] is None or words[s["start"] : end] == s["words"].split()[s["offset"] : s["offset"] + length]:
+        if words[s["start"] : end] == s["words"].split()[s["offset"] : s["offset"] + length]:
             covered[s["start"]] += 1
             covered[end] -= 1
     keep = np.cumsum(covered)[:-1] == 0
@@ -207,7 +207,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """(row, spans) of the texts with words to remove: spans of windows that start in an earlier document too.
 
     ``rows`` comes from texts_by_row(). A span is (start, windows, offset, words): its first word, its number of windows,
-    and the words of its source, which has it at the offset; a single window where runs branch has no words.
+    and the words of its source, which has it at the offset.
     """
     ship(rows.sparkSession)
     id_kind, row_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "row"))
@@ -228,27 +228,36 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     firsts = firsts.selectExpr("vertex", "edge", "first.row AS first_row", "first.start AS first_start", "first.windows AS windows", "last_id", "one_before", "one_after")
     firsts = checkpointed(compacted(checkpointed(firsts)).drop("one_before", "one_after"))
 
-    # Nonbranching: an occurrence of a path after its first document is repeated whole. The words at its source come along.
+    # Nonbranching: an occurrence of a path after its first document is repeated whole.
     known = edges.select("row", "vertex", "edge", "start").join(firsts.select("vertex", "edge", "first_row", "first_start", "windows", "pv", "pe", "path_start"), ["vertex", "edge"])
     later = known.filter("row.id > first_row.id").withColumn("shift", F.col("start") - F.col("first_start"))
     whole = later.groupBy("row", "pv", "pe", "path_start", "shift").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("windows")).alias("end"))
     whole = whole.selectExpr("row", "pv AS vertex", "pe AS edge", "start", "end - start AS windows", "start - shift - path_start AS offset")
     paths = firsts.groupBy("first_row", "pv", "pe", "path_start").agg(F.max("last_id").alias("last_id"), F.max(F.col("first_start") + F.col("windows")).alias("end")).filter("last_id > first_row.id")
-    sources = paths.groupBy(F.col("first_row").alias("row")).agg(F.collect_list(F.expr("struct(pv AS vertex, pe AS edge, path_start AS start, end - path_start AS windows)")).alias("sources"))
-    texts = rows.join(checkpointed(sources), "row").mapInArrow(emit_sources, "vertex bigint, edge bigint, words binary")
-    whole = whole.join(texts, ["vertex", "edge"]).select("row", "start", "windows", "offset", "words")
+    paths = paths.selectExpr("first_row AS row", "pv AS vertex", "pe AS edge", "path_start AS start", "end - path_start AS windows")
 
     # Branching: one occurrence of each run of such a vertex is opened into its windows. The joins on rows here and the
     # caller's deal the same columns by the same key within one query, so that Spark shuffles the texts once.
     branching = firsts.groupBy("vertex").agg(F.count("*").alias("n"), F.min("first_row.id").alias("low"), F.max("first_row.id").alias("high")).filter("n > 1 and low < high")
-    opened = firsts.join(branching.select("vertex"), "vertex", "left_semi").selectExpr("first_row AS row", "vertex", "edge", "first_start AS start", "windows")
-    opened = checkpointed(opened.groupBy("row").agg(F.collect_list(F.struct("vertex", "edge", "start", "windows")).alias("edges")))
-    windows = rows.join(opened, "row").mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, edge bigint, at bigint, window bigint")
-    earliest = windows.groupBy("vertex", "window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("vertex", "window", "low")
-    met = windows.join(earliest.repartition("window"), ["vertex", "window"]).filter("id > low").groupBy("vertex", "edge").agg(F.collect_set("at").alias("ats"))
-    parts = known.filter("row.id = first_row.id").join(met, ["vertex", "edge"]).select("row", F.explode("ats").alias("at"), "start")
-    parts = parts.selectExpr("row", "start + at AS start", "1L AS windows", "0L AS offset", "CAST(NULL AS BINARY) AS words")
-    return whole.unionByName(parts).groupBy("row").agg(F.collect_set(F.struct("start", "windows", "offset", "words")).alias("spans"))
+    opened = firsts.join(branching.select("vertex", "high"), "vertex").selectExpr("first_row AS row", "vertex", "edge", "first_start AS start", "windows", "high")
+    opened = checkpointed(opened.withColumn("run", F.monotonically_increasing_id()))
+    listed = checkpointed(opened.groupBy("row").agg(F.collect_list(F.struct("vertex", "run", "start", "windows")).alias("edges")))
+    windows = rows.join(listed, "row").mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, run bigint, at bigint, window bigint")
+    earliest = windows.groupBy("vertex", "window").agg(F.min(F.struct("id", "run", "at")).alias("source"), F.max("id").alias("high")).filter("source.id < high")
+    earliest = earliest.selectExpr("vertex", "window", "source.id AS low", "source.run AS source", "source.at AS source_at")
+    met = windows.join(earliest.repartition("window"), ["vertex", "window"]).filter("id > low").withColumn("shift", F.col("source_at") - F.col("at"))
+    met = met.groupBy("run", "source", "shift").agg(F.sort_array(F.collect_set("at")).alias("ats")).select("run", "source", "shift", F.posexplode("ats").alias("i", "at"))
+    met = met.groupBy("run", "source", "shift", (F.col("at") - F.col("i")).alias("stretch")).agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    met = met.join(opened.select("run", "vertex", "edge"), "run").join(opened.selectExpr("run AS source", "edge AS source_edge"), "source")
+    parts = known.filter("row.id = first_row.id").select("vertex", "edge", "row", "start").join(met, ["vertex", "edge"])
+    parts = parts.selectExpr("row", "vertex", "source_edge AS edge", "start + at AS start", "n AS windows", "at + shift AS offset")
+
+    # The words at the sources: paths that a later document has, and opened runs that aren't the last of their vertex.
+    sources = paths.unionByName(opened.filter("row.id < high").drop("high", "run")).groupBy("row", "vertex", "edge", "start").agg(F.max("windows").alias("windows"))
+    sources = checkpointed(sources.groupBy("row").agg(F.collect_list(F.struct("vertex", "edge", "start", "windows")).alias("sources")))
+    texts = rows.join(sources, "row").mapInArrow(emit_sources, "vertex bigint, edge bigint, words binary")
+    spans = whole.unionByName(parts).join(texts, ["vertex", "edge"])
+    return spans.groupBy("row").agg(F.collect_set(F.struct("start", "windows", "offset", "words")).alias("spans"))
 
 
 def texts_by_row(df: DataFrame, id_column: str, text_column: str, **others: str) -> DataFrame:
