@@ -88,7 +88,7 @@ def class_key(words: list[bytes]) -> tuple[int, int]:
 
 
 def emit_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, limit=8_000_000):
+    for batch in slices(batches, limit=2_000_000):
         documents = [lowered_words(t) for t in batch.column("text").to_pylist()]
         keys = [class_key(d) if d else (None, None) for d in documents]
         n = np.bincount(shingle_sets(documents)[1], minlength=len(documents))
@@ -129,7 +129,7 @@ def emit_dealt(partitions: int):
     """The shingles of each batch's classes, dealt to partitions; frequent ones apart, under a group that only forwards."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=6_000_000):
+        for batch in slices(batches, limit=4_000_000):
             documents: dict[int, list[bytes]] = {}
             for text in batch.column("text").to_pylist():
                 if words := lowered_words(text):
