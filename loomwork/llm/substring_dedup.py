@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import columns_of, slices, words_of
-from loomwork.session import checkpointed, ship
+from loomwork.session import checkpointed, ship, stored
 
 #: Words of a window, and of a vertex.
 WINDOW = 50
@@ -193,7 +193,7 @@ def compacted(firsts: DataFrame) -> DataFrame:
 
     A join pairs a run with the one before it in the first document; they are one path if neither branches there."""
     left = firsts.select(F.col("first_row").alias("first_row"), (F.col("first_start") + F.col("windows")).alias("first_start"), F.col("one_after").alias("joined"))
-    linked = firsts.join(left.dropDuplicates(["first_row", "first_start"]), ["first_row", "first_start"], "left")
+    linked = firsts.join(left.dropDuplicates(["first_row", "first_start"]).hint("merge"), ["first_row", "first_start"], "left")
     goes_on = F.coalesce(F.col("joined") & F.col("one_before"), F.lit(False))
     along = Window.partitionBy("first_row").orderBy("first_start")
     chains = linked.withColumn("chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(along))
@@ -215,8 +215,9 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     edges = rows.select("id", "text", "row").filter("id is not null").mapInArrow(emit_edges, kinds)
 
     # The joins below get both sides by shuffles of their own, not by an aggregate's, so that hot vertices can be split.
+    # Runs are stored as Parquet, smaller than checkpointed rows; its size says little of rows in memory, so joins merge.
     shared = edges.groupBy("vertex").agg(F.min("row.id").alias("low"), F.max("row.id").alias("high")).filter("low < high").select("vertex")
-    edges = checkpointed(edges.join(checkpointed(shared), "vertex"))
+    edges = stored(edges.join(checkpointed(shared), "vertex"), "runs")
 
     # Degrees: a run that ends its document says nothing about what follows it.
     firsts = edges.groupBy("vertex", "edge").agg(
@@ -226,10 +227,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         (F.min("after") == F.max("after")).alias("one_after"),
     )
     firsts = firsts.selectExpr("vertex", "edge", "first.row AS first_row", "first.start AS first_start", "first.windows AS windows", "last_id", "one_before", "one_after")
-    firsts = checkpointed(compacted(checkpointed(firsts)).drop("one_before", "one_after"))
+    firsts = stored(compacted(stored(firsts, "firsts")).drop("one_before", "one_after"), "paths")
 
     # Nonbranching: an occurrence of a path after its first document is repeated whole.
-    known = edges.select("row", "vertex", "edge", "start").join(firsts.select("vertex", "edge", "first_row", "first_start", "windows", "pv", "pe", "path_start"), ["vertex", "edge"])
+    known = edges.select("row", "vertex", "edge", "start").join(firsts.select("vertex", "edge", "first_row", "first_start", "windows", "pv", "pe", "path_start").hint("merge"), ["vertex", "edge"])
     later = known.filter("row.id > first_row.id").withColumn("shift", F.col("start") - F.col("first_start"))
     whole = later.groupBy("row", "pv", "pe", "path_start", "shift").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("windows")).alias("end"))
     whole = whole.selectExpr("row", "pv AS vertex", "pe AS edge", "start", "end - start AS windows", "start - shift - path_start AS offset")
@@ -239,7 +240,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     # Branching: one occurrence of each run of such a vertex is opened into its windows. The joins on rows here and the
     # caller's deal the same columns by the same key within one query, so that Spark shuffles the texts once.
     branching = firsts.groupBy("vertex").agg(F.count("*").alias("n"), F.min("first_row.id").alias("low"), F.max("first_row.id").alias("high")).filter("n > 1 and low < high")
-    opened = firsts.join(branching.select("vertex", "high"), "vertex").selectExpr("first_row AS row", "vertex", "edge", "first_start AS start", "windows", "high")
+    opened = firsts.join(branching.select("vertex", "high").hint("merge"), "vertex").selectExpr("first_row AS row", "vertex", "edge", "first_start AS start", "windows", "high")
     opened = checkpointed(opened.withColumn("run", F.monotonically_increasing_id()))
     listed = checkpointed(opened.groupBy("row").agg(F.collect_list(F.struct("vertex", "run", "start", "windows")).alias("edges")))
     windows = rows.join(listed, "row").mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, run bigint, at bigint, window bigint")
