@@ -24,6 +24,12 @@ SETTINGS = {
 }
 
 
+#: While a table is stored, Spark removes the files of its shuffles as soon as it is written.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch sent to a Python worker, where the session doesn't set them: batches of wide rows stay small.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def build_session(name: str = "loomwork", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the engine's settings; keyword arguments override them (``__`` stands for ``.``)."""
     builder = SparkSession.builder.appName(name)
@@ -59,14 +65,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again. The files stay: the caller's application owns them."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """``df`` written as Parquet to the shared folder and read again. The files stay: the caller's application owns them.
+    The shuffles of the write are removed, as the written table replaces them."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for operators with Python workers."""
+    """Send this package to the executors once per application, for operators with Python workers, and bound their batches."""
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_loomwork_shipped", False):
         return
