@@ -5,9 +5,9 @@ its first. They are dealt by minimum substring partitioning: a window owns the 1
 vertex here), so equal windows own equal words at equal places, and a document's windows that follow each other and own
 the same words travel as one run, keyed by vertex and hash. No window is left out, and only runs are shuffled.
 
-A join drops vertices of one document. What comes before and after a run gives its degrees: where its occurrences all
-continue alike, and all occurrences of the next run come from it, the two are nonbranching; a join of neighbours in the
-first document compacts such runs into paths (of PATH_RUNS runs at most, which bounds what a piece of a path ships). An
+A join drops vertices of one document. What follows a run and counts give its degrees: where its occurrences all continue
+alike, and as many continue as the next run has after any run, all of the next run's come from it and the two are
+nonbranching; a join of neighbours in the first document compacts such runs into paths (of PATH_RUNS runs at most, which bounds what a piece of a path ships). An
 occurrence of a path after its first document is one span. Where a vertex branches, one occurrence of each of its runs is
 opened into its windows, these meet window by window, and neighbouring ones that meet the same run become one span.
 
@@ -90,11 +90,11 @@ def least_kmer(hashes: np.ndarray, window: int) -> np.ndarray:
 
 def edges_of(documents: list[list[bytes]]) -> dict[str, np.ndarray]:
     """The runs of some documents: owner (index of the document), vertex, edge (its hash), start (first word), windows, and
-    the runs before and after it, masked at the ends of a document."""
+    the run after it, masked at the end of a document."""
     hashes, owner = word_hashes(documents)
     if len(hashes) < WINDOW:
         empty = np.zeros(0, np.int64)
-        return {k: empty for k in ("owner", "vertex", "edge", "start", "windows")} | {k: np.ma.array(empty) for k in ("before", "after")}
+        return {k: empty for k in ("owner", "vertex", "edge", "start", "windows")} | {"after": np.ma.array(empty)}
     spans, n = Spans(hashes), len(hashes)
     starts = np.arange(n - KMER + 1)
     kmers = spans.of(starts, starts + KMER)
@@ -116,7 +116,6 @@ def edges_of(documents: list[list[bytes]]) -> dict[str, np.ndarray]:
         "edge": edge,
         "start": begin - head[owner[begin]],
         "windows": count,
-        "before": np.ma.array(np.roll(edge, 1), mask=first_of),
         "after": np.ma.array(np.roll(edge, -1), mask=np.roll(first_of, -1)),
     }
 
@@ -188,13 +187,14 @@ def emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(others | counts | {"text": batch.column("text")})
 
 
-def compacted(firsts: DataFrame) -> DataFrame:
+def compacted(firsts: DataFrame, one_before: str = "one_before", left_columns: tuple[str, ...] = ()) -> DataFrame:
     """``firsts`` (the first occurrence of each run) with its path: pv, pe (the path's first run) and path_start.
 
-    A join pairs a run with the one before it in the first document; they are one path if neither branches there."""
-    left = firsts.select(F.col("first_row").alias("first_row"), (F.col("first_start") + F.col("windows")).alias("first_start"), F.col("one_after").alias("joined"))
+    A join pairs a run with the one before it in the first document; they are one path if neither branches there.
+    ``one_before`` is SQL; it may read ``left_columns`` of the run before as left_<name>."""
+    left = firsts.selectExpr("first_row", "first_start + windows AS first_start", "one_after AS joined", *(f"{c} AS left_{c}" for c in left_columns))
     linked = firsts.join(left.dropDuplicates(["first_row", "first_start"]).hint("merge"), ["first_row", "first_start"], "left")
-    goes_on = F.coalesce(F.col("joined") & F.col("one_before"), F.lit(False))
+    goes_on = F.coalesce(F.col("joined") & F.expr(one_before), F.lit(False))
     along = Window.partitionBy("first_row").orderBy("first_start")
     chains = linked.withColumn("chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(along))
     inside = Window.partitionBy("first_row", "chain").orderBy("first_start")
@@ -211,7 +211,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """
     ship(rows.sparkSession)
     id_kind, row_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "row"))
-    kinds = f"row {row_kind}, vertex bigint, edge bigint, start bigint, windows bigint, before bigint, after bigint"
+    kinds = f"row {row_kind}, vertex bigint, edge bigint, start bigint, windows bigint, after bigint"
     edges = rows.select("id", "text", "row").filter("id is not null").mapInArrow(emit_edges, kinds)
 
     # The joins below get both sides by shuffles of their own, not by an aggregate's, so that hot vertices can be split.
@@ -219,15 +219,17 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     shared = edges.groupBy("vertex").agg(F.min("row.id").alias("low"), F.max("row.id").alias("high")).filter("low < high").select("vertex")
     edges = stored(edges.join(checkpointed(shared), "vertex"), "runs")
 
-    # Degrees: a run that ends its document says nothing about what follows it.
+    # Degrees: a run that ends its document says nothing about what follows it, one that starts it of what comes before.
     firsts = edges.groupBy("vertex", "edge").agg(
         F.min(F.struct("row", "start", "windows")).alias("first"),
         F.max("row.id").alias("last_id"),
-        (F.min("before") == F.max("before")).alias("one_before"),
+        F.count_if(F.col("start") > 0).alias("n_before"),
+        F.count("after").alias("n_after"),
         (F.min("after") == F.max("after")).alias("one_after"),
     )
-    firsts = firsts.selectExpr("vertex", "edge", "first.row AS first_row", "first.start AS first_start", "first.windows AS windows", "last_id", "one_before", "one_after")
-    firsts = stored(compacted(stored(firsts, "firsts")).drop("one_before", "one_after"), "paths")
+    firsts = firsts.selectExpr("vertex", "edge", "first.row AS first_row", "first.start AS first_start", "first.windows AS windows", "last_id", "n_before", "n_after", "one_after")
+    firsts = compacted(stored(firsts, "firsts"), "n_before = left_n_after", ("n_after",))
+    firsts = stored(firsts.drop("n_before", "n_after", "one_after"), "paths")
 
     # Nonbranching: an occurrence of a path after its first document is repeated whole.
     known = edges.select("row", "vertex", "edge", "start").join(firsts.select("vertex", "edge", "first_row", "first_start", "windows", "pv", "pe", "path_start").hint("merge"), ["vertex", "edge"])
