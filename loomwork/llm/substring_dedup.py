@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import columns_of, slices, words_of
-from loomwork.session import checkpointed, ship, stored
+from loomwork.session import ship, stored
 
 #: Words of a window, and of a vertex.
 WINDOW = 50
@@ -217,7 +217,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     # The joins below get both sides by shuffles of their own, not by an aggregate's, so that hot vertices can be split.
     # Runs are stored as Parquet, smaller than checkpointed rows; its size says little of rows in memory, so joins merge.
     shared = edges.groupBy("vertex").agg(F.min("row.id").alias("low"), F.max("row.id").alias("high")).filter("low < high").select("vertex")
-    edges = stored(edges.join(checkpointed(shared), "vertex"), "runs")
+    edges = stored(edges.join(stored(shared, "vertices").hint("merge"), "vertex"), "runs")
 
     # Degrees: a run that ends its document says nothing about what follows it, one that starts it of what comes before.
     firsts = edges.groupBy("vertex", "edge").agg(
@@ -243,22 +243,22 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     # caller's deal the same columns by the same key within one query, so that Spark shuffles the texts once.
     branching = firsts.groupBy("vertex").agg(F.count("*").alias("n"), F.min("first_row.id").alias("low"), F.max("first_row.id").alias("high")).filter("n > 1 and low < high")
     opened = firsts.join(branching.select("vertex", "high").hint("merge"), "vertex").selectExpr("first_row AS row", "vertex", "edge", "first_start AS start", "windows", "high")
-    opened = checkpointed(opened.withColumn("run", F.monotonically_increasing_id()))
-    listed = checkpointed(opened.groupBy("row").agg(F.collect_list(F.struct("vertex", "run", "start", "windows")).alias("edges")))
-    windows = rows.join(listed, "row").mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, run bigint, at bigint, window bigint")
+    opened = stored(opened.withColumn("run", F.monotonically_increasing_id()), "opened")
+    listed = stored(opened.groupBy("row").agg(F.collect_list(F.struct("vertex", "run", "start", "windows")).alias("edges")), "listed")
+    windows = rows.join(listed.hint("merge"), "row").mapInArrow(emit_windows, f"id {id_kind}, vertex bigint, run bigint, at bigint, window bigint")
     earliest = windows.groupBy("vertex", "window").agg(F.min(F.struct("id", "run", "at")).alias("source"), F.max("id").alias("high")).filter("source.id < high")
     earliest = earliest.selectExpr("vertex", "window", "source.id AS low", "source.run AS source", "source.at AS source_at")
     met = windows.join(earliest.repartition("window"), ["vertex", "window"]).filter("id > low").withColumn("shift", F.col("source_at") - F.col("at"))
     met = met.groupBy("run", "source", "shift").agg(F.sort_array(F.collect_set("at")).alias("ats")).select("run", "source", "shift", F.posexplode("ats").alias("i", "at"))
     met = met.groupBy("run", "source", "shift", (F.col("at") - F.col("i")).alias("stretch")).agg(F.min("at").alias("at"), F.count("*").alias("n"))
-    met = met.join(opened.select("run", "vertex", "edge"), "run").join(opened.selectExpr("run AS source", "edge AS source_edge"), "source")
+    met = met.join(opened.select("run", "vertex", "edge").hint("merge"), "run").join(opened.selectExpr("run AS source", "edge AS source_edge").hint("merge"), "source")
     parts = known.filter("row.id = first_row.id").select("vertex", "edge", "row", "start").join(met, ["vertex", "edge"])
     parts = parts.selectExpr("row", "vertex", "source_edge AS edge", "start + at AS start", "n AS windows", "at + shift AS offset")
 
     # The words at the sources: paths that a later document has, and opened runs that aren't the last of their vertex.
     sources = paths.unionByName(opened.filter("row.id < high").drop("high", "run")).groupBy("row", "vertex", "edge", "start").agg(F.max("windows").alias("windows"))
-    sources = checkpointed(sources.groupBy("row").agg(F.collect_list(F.struct("vertex", "edge", "start", "windows")).alias("sources")))
-    texts = rows.join(sources, "row").mapInArrow(emit_sources, "vertex bigint, edge bigint, words binary")
+    sources = stored(sources.groupBy("row").agg(F.collect_list(F.struct("vertex", "edge", "start", "windows")).alias("sources")), "sources")
+    texts = rows.join(sources.hint("merge"), "row").mapInArrow(emit_sources, "vertex bigint, edge bigint, words binary")
     spans = whole.unionByName(parts).join(texts, ["vertex", "edge"])
     return spans.groupBy("row").agg(F.collect_set(F.struct("start", "windows", "offset", "words")).alias("spans"))
 
