@@ -2,8 +2,13 @@
 
 A tokenizer with byte-level pre-tokens encodes every pre-token by itself, and a pre-token never reaches over a single
 space between two words: it starts there. So a text's count is the sum over its space-led words. Tier one is a compact
-table of the token lengths of frequent words, broadcast to all workers. Tier two is each worker's own cache: a word in
-neither is encoded once, by ranks from the same file, and kept. Nothing smaller than a document is ever shuffled.
+table of the token lengths of the most frequent words of all rows, broadcast to all workers. Tier two is each worker's own
+cache: a word in neither is encoded once, by ranks from the same file, and kept.
+
+The frequencies are exact: a first pass counts the words of all texts, added up in each task and then by partitions of
+words, so that a hot word is one row from each flush of a task. Only words and their counts are shuffled, texts never.
+Words over ENTRY_CHARS are not in the table, so that its size is bounded, and go to tier two. The table only saves time:
+token counts are the same with any table.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); special strings inside a text are single tokens, the
 library's default; a text with a character that Unicode tables of different age classify differently is encoded whole
@@ -22,19 +27,22 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomwork.llm.common import columns_of, slices
-from loomwork.session import ship
+from loomwork.session import checkpointed, ship
 
 #: Fixed value: how byte-level pre-tokenizers split text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER_SPACE = re.compile(r"[^\S \n]")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
-#: Entries of the broadcast table; at about 40 bytes each the bound on its size is 3 MB.
+#: Entries of the broadcast table.
 FREQUENT_ENTRIES = 65_536
-#: Rows from which the frequent pre-tokens are taken. The table only saves time; counts don't depend on it.
-FREQUENT_ROWS = 500
+#: Characters of the longest word that the table can hold, which bounds its bytes; longer ones are left to tier two.
+ENTRY_CHARS = 64
+#: Words that a task counts before it sends their counts on.
+PARTIAL_WORDS = 200_000
 #: Entries of a worker's cache before it falls back to the broadcast table.
 CACHE_ENTRIES = 1_000_000
 
@@ -48,6 +56,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def parts(text: str, special: list[str]) -> list[str]:
+    """What is between the special strings of a text, each of which is a token."""
+    return re.split("|".join(map(re.escape, special)), text) if any(s in text for s in special) else [text]
+
+
+def cut(text: str) -> list[str]:
+    """The text cut before each single space between words; pre-tokens never reach over such a cut."""
+    if "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text):
+        return SINGLE_SPACE.split(text)
+    return text.split(" ")
+
+
 class PretokenLengths:
     """The two tiers inside one Python worker; keys are words without the space that leads them."""
 
@@ -64,31 +84,22 @@ class PretokenLengths:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.encode = tiktoken.Encoding("pretokens", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.split_special = re.compile("|".join(map(re.escape, self.special))).split
         self.frequent = frequent
         self.known = dict(frequent)
 
-    def words(self, text: str) -> list[str]:
-        """The text cut before each single space between words; pre-tokens never reach over such a cut."""
-        if "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text):
-            return SINGLE_SPACE.split(text)
-        return text.split(" ")
-
     def count(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text."""
         counts = []
         for text in texts:
             if not text:
                 counts.append(0)
-            elif any(s in text for s in self.special):
-                parts = self.split_special(text)
-                counts.append(sum(map(self.count_one, parts)) + len(parts) - 1)
             else:
-                counts.append(self.count_one(text))
+                found = parts(text, self.special)
+                counts.append(sum(map(self.count_one, found)) + len(found) - 1)
         return counts
 
     def count_one(self, text: str) -> int:
-        first, *words = self.words(text)
+        first, *words = cut(text)
         found = list(map(self.known.get, words))
         total = len(self.encode(first)) if first.isascii() or assigned(first) else None
         if None in found:
@@ -118,12 +129,40 @@ def _worker(key: str, tokenizer_json, frequent) -> PretokenLengths:
     return _workers[key]
 
 
-def frequent_words(df: DataFrame, text_column: str, rows: int, entries: int) -> list[str]:
-    """The ``entries`` most frequent space-led words of at most ``rows`` rows, which the driver takes from the first files."""
+def word_counts(batches: Iterator[pa.RecordBatch], special: list[str], most: int = PARTIAL_WORDS) -> Iterator[pa.RecordBatch]:
+    """The space-led words that the table can hold, as count_one() looks them up, with counts to be added up."""
     seen: Counter = Counter()
-    for row in columns_of(df, text=text_column).limit(rows).collect():
-        seen.update(SINGLE_SPACE.split(row.text or "")[1:])
-    return [w for w, _ in seen.most_common(entries)]
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+    for batch in slices(batches):
+        for text in batch.column("text").to_pylist():
+            for part in parts(text or "", special):
+                seen.update([w for w in cut(part)[1:] if len(w) <= ENTRY_CHARS])
+        if len(seen) >= most:
+            yield counted()
+            seen.clear()
+    yield counted()
+
+
+def frequent_words(df: DataFrame, text_column: str, special: list[str], entries: int) -> list[str]:
+    """The ``entries`` most frequent space-led words of all rows, of those that the table can hold and that are found twice
+    or more: it saves nothing for the others. Which of equally frequent ones come last is left open."""
+    rows = columns_of(df, text=text_column)
+    counts = rows.mapInArrow(lambda batches: word_counts(batches, special), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts.filter("n > 1"))
+    # k frequencies that differ add up to k * k / 2 words or more, so the driver gets few.
+    room, tied = entries, 0
+    for n, words in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):
+        if words > room:
+            tied = n
+            break
+        room -= words
+    found = counts.filter(F.col("n") > tied).collect()
+    if tied and room:
+        found += counts.filter(F.col("n") == tied).limit(room).collect()
+    return [r.word for r in found]
 
 
 def count_tokens(
@@ -132,7 +171,6 @@ def count_tokens(
     id_column: str = "doc_id",
     text_column: str = "text",
     limit: int = 1024,
-    frequent_rows: int = FREQUENT_ROWS,
     frequent_entries: int = FREQUENT_ENTRIES,
 ) -> DataFrame:
     """Per row: its id, n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens)."""
@@ -141,7 +179,7 @@ def count_tokens(
     with open(tokenizer_path, encoding="utf-8") as file:
         text = file.read()
     tables = PretokenLengths(text, {})
-    words = [w for w in frequent_words(df, text_column, frequent_rows, frequent_entries) if assigned(w)]
+    words = [w for w in frequent_words(df, text_column, tables.special, frequent_entries) if assigned(w)]
     lengths = {w: len(tables.encode(" " + w)) for w in words}
     key = uuid.uuid4().hex
     tokenizer_json, frequent = spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(lengths)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,6 +54,45 @@ def test_token_counts(spark, rows, folder):
     assert token_counts.count_tokens(df.limit(0), PATH).count() == 0
 
 
+def table_sent(spark, monkeypatch, df, **named):
+    """The broadcast table of frequent words."""
+    sent, broadcast = [], spark.sparkContext.broadcast
+    with monkeypatch.context() as patched:
+        patched.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or broadcast(value))
+        token_counts.count_tokens(df, PATH, **named)
+    (table,) = (value for value in sent if isinstance(value, dict))
+    return table
+
+
+def test_frequent_words_are_those_of_all_rows(spark, monkeypatch):
+    texts = ["x early early first<|endoftext|>"] * 600 + ["x late later late<|endoftext|> special", "x late later" + " y" * 200, "x once"] * 1000 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    assert table_sent(spark, monkeypatch, df, frequent_entries=4) == {w: library_count(" " + w) for w in ("y", "late", "later", "early")}
+    assert table_sent(spark, monkeypatch, df).keys() == {"y", "late", "later", "early", "special", "once", "first"}
+    tied = table_sent(spark, monkeypatch, df, frequent_entries=5).keys()
+    assert len(tied) == 5 and {"y", "late", "later", "early"} < tied < {"y", "late", "later", "early", "special", "once"}
+    assert table_sent(spark, monkeypatch, df.limit(1)).keys() == {"early"} and table_sent(spark, monkeypatch, df, frequent_entries=0) == {}
+
+
+def test_words_are_counted_as_looked_up(rows):
+    texts = [t for _, t, *_ in rows] + ["a b<|endoftext|> b  c \n d ", "a " + "long" * 20]
+    looked = Counter()
+
+    class Known(dict):
+        def get(self, word):
+            looked[word] += 1
+            return 0
+
+    tables = token_counts.PretokenLengths(open(PATH, encoding="utf-8").read(), {})
+    tables.known = Known()
+    tables.count(texts)
+    assert looked.pop("long" * 20) == 1 and all(len(w) <= 64 for w in looked)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7], pa.string())], ["text"]) for i in range(0, len(texts), 7)]
+    for most in (1, 300, 10**6):
+        found = [Counter(dict(zip(*b.to_pydict().values(), strict=True))) for b in token_counts.word_counts(iter(batches), tables.special, most)]
+        assert sum(found, Counter()) == looked and (len(found) == 1) == (most == 10**6)
+
+
 def test_quality_rules(spark, folder, agrees, duck, rows, monkeypatch):
     agrees(catalogue.QUERIES["op6_quality_rules"](spark, folder), catalogue.ORACLE["op6_quality_rules"])
     low, low_text = (sql.replace("c.n > 20", "c.n > 3") for sql in (catalogue.ORACLE["op6_quality_rules"], catalogue.LEFT_TEXT))
