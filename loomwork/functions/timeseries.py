@@ -87,6 +87,11 @@ def on_grid(df: DataFrame, time: str, frequency: Frequency, keys: list[str] | No
     return steps.join(df, [*keys, time], "left")
 
 
+def _next(column: str, by) -> Column:
+    """The nearest value after the row that isn't null. A frame to the end of the window is read anew for each row; this isn't."""
+    return F.expr(f"lead({column}) IGNORE NULLS").over(by)
+
+
 def fill(df: DataFrame, time: str, columns: list[str], method: str, keys: list[str] | None = None) -> DataFrame:
     """Nulls filled by the value before, the value after, the line between both, zero or NaN.
 
@@ -100,7 +105,8 @@ def fill(df: DataFrame, time: str, columns: list[str], method: str, keys: list[s
         return _filled_by_day(df, time, columns, method)
     by = W.partitionBy(*(keys or [])).orderBy(time)
     before, after = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(0, W.unboundedFollowing)
-    for c in columns:
+    marked = {}
+    for i, c in enumerate(columns):
         value = F.col(c)
         if method == "forward":
             out[c] = F.last(value, ignorenulls=True).over(before)
@@ -109,28 +115,31 @@ def fill(df: DataFrame, time: str, columns: list[str], method: str, keys: list[s
         elif method in ("zero", "nan"):
             out[c] = F.coalesce(value, F.lit(0 if method == "zero" else float("nan")).cast(df.schema[c].dataType if method == "zero" else "double"))
         else:
-            here = F.when(value.isNotNull(), F.struct(seconds.alias("t"), value.cast("double").alias("v")))
-            left, right = F.last(here, ignorenulls=True).over(before), F.first(here, ignorenulls=True).over(after)
-            line = left["v"] + (right["v"] - left["v"]) * (seconds - left["t"]) / (right["t"] - left["t"])
-            out[c] = F.when(value.isNotNull(), value.cast("double")).otherwise(line)
-    return df.withColumns(out)
+            known, at = f"_known_{i}", f"_at_{i}"
+            marked |= {known: value, at: F.when(value.isNotNull(), seconds)}
+            left, low = (F.last(x, ignorenulls=True).over(before) for x in (known, at))
+            right, high = (_next(x, by) for x in (known, at))
+            left, right = left.cast("double"), right.cast("double")
+            out[c] = F.when(F.col(known).isNotNull(), F.col(known).cast("double")).otherwise(left + (right - left) * (seconds - low) / (high - low))
+    return df.withColumns(marked).withColumns(out).drop(*marked) if marked else df.withColumns(out)
 
 
 def _filled_by_day(df: DataFrame, time: str, columns: list[str], method: str) -> DataFrame:
     day = F.date_trunc("day", F.col(time))
     cut = df.withColumn("_day", day)
-    known = {c: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col(time).alias("t"), F.col(f"`{c}`").alias("v"))) for c in columns}
+    known = {c: f"_known_{i}" for i, c in enumerate(columns)}
+    cut = cut.withColumns({k: F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.col(time).alias("t"), F.col(f"`{c}`").alias("v"))) for c, k in known.items()})
     ends = cut.groupBy("_day").agg(*(F.max(k).alias(f"_last_{i}") for i, k in enumerate(known.values())), *(F.min(k).alias(f"_first_{i}") for i, k in enumerate(known.values())))
     # One row for each day.
     days = W.orderBy("_day")
     carried = [F.last(f"_last_{i}", ignorenulls=True).over(days.rowsBetween(W.unboundedPreceding, -1)).alias(f"_before_{i}") for i in range(len(columns))]
-    carried += [F.first(f"_first_{i}", ignorenulls=True).over(days.rowsBetween(1, W.unboundedFollowing)).alias(f"_after_{i}") for i in range(len(columns))]
+    carried += [_next(f"_first_{i}", days).alias(f"_after_{i}") for i in range(len(columns))]
     joined = cut.join(ends.select("_day", *carried).withColumnRenamed("_day", "_of"), F.col("_day").eqNullSafe(F.col("_of")), "left")
     inside = W.partitionBy("_day").orderBy(time)
     out = {}
     for i, (c, here) in enumerate(known.items()):
         left = F.coalesce(F.last(here, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col(f"_before_{i}"))
-        right = F.coalesce(F.first(here, ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing)), F.col(f"_after_{i}"))
+        right = F.coalesce(F.col(here), _next(here, inside), F.col(f"_after_{i}"))
         if method == "forward":
             out[c] = left["v"]
         elif method == "backward":

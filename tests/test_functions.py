@@ -132,6 +132,30 @@ def test_grid_and_fills(spark):
         timeseries.fill(regular, "t", ["v"], "cubic")
 
 
+@pytest.mark.parametrize("method", ["linear"])
+@pytest.mark.parametrize("keys", [["k"], None])
+def test_fill_reads_no_frame_twice(spark, method, keys):
+    """Values of long gaps by a plain loop; a frame to the window's end costs the square of the series' length."""
+    known = {h: float(h * h % 101) for h in (3, 4, 9, 40, 41, 130, 200, 333)}
+    rows = [(k, h, known.get(h - shift)) for k, shift in (("a", 0), ("b", 50))[: 2 if keys else 1] for h in range(400)]
+    rows += [("c", h, None) for h in range(5)] if keys else []
+    df = spark.createDataFrame([(k, t, v, None if v is None else int(v) + 1) for k, t, v in hours(*rows)], "k string, t timestamp_ntz, v double, w int")
+    filled = timeseries.fill(df, "t", ["v", "w"], method, keys)
+    assert filled.columns == df.columns and "unboundedfollowing" not in filled._jdf.queryExecution().executedPlan().toString().lower()
+    found = {(r.k, r.t): (r.v, r.w) for r in filled.collect()}
+    assert len(found) == len(rows)
+    for (k, h, v), (_, t, _) in zip(rows, hours(*rows), strict=True):
+        mine = [(g, x) for j, g, x in rows if j == k and x is not None]
+        right = min((x for x in mine if x[0] >= h), default=None)
+        left = max((x for x in mine if x[0] <= h), default=None) if method == "linear" else right
+        if left is None or right is None:
+            assert found[k, t] == (None, None)
+        else:
+            share = (h - left[0]) / (right[0] - left[0]) if left != right else 0
+            value = left[1] + (right[1] - left[1]) * share
+            assert found[k, t] == pytest.approx((value, value + 1))
+
+
 def test_steps(spark):
     df = spark.createDataFrame(hours(("a", 0, 1.0), ("a", 1, 4.0), ("a", 30, 5.0), ("b", 1, 9.0)), "k string, t timestamp_ntz, v double")
     assert [r.step for r in timeseries.steps(df, "t", ["k"]).orderBy("k", "t").collect()] == [None, 3_600_000_000, 29 * 3_600_000_000, None]
