@@ -104,18 +104,17 @@ def fill(df: DataFrame, time: str, columns: list[str], method: str, keys: list[s
     if not keys and method in ("forward", "backward", "linear"):
         return _filled_by_day(df, time, columns, method)
     by = W.partitionBy(*(keys or [])).orderBy(time)
-    before, after = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(0, W.unboundedFollowing)
-    marked = {}
+    before, marked = by.rowsBetween(W.unboundedPreceding, 0), {}
     for i, c in enumerate(columns):
-        value = F.col(c)
+        value, known, at = F.col(c), f"_known_{i}", f"_at_{i}"
         if method == "forward":
             out[c] = F.last(value, ignorenulls=True).over(before)
         elif method == "backward":
-            out[c] = F.first(value, ignorenulls=True).over(after)
+            marked[known] = value
+            out[c] = F.coalesce(F.col(known), _next(known, by))
         elif method in ("zero", "nan"):
             out[c] = F.coalesce(value, F.lit(0 if method == "zero" else float("nan")).cast(df.schema[c].dataType if method == "zero" else "double"))
         else:
-            known, at = f"_known_{i}", f"_at_{i}"
             marked |= {known: value, at: F.when(value.isNotNull(), seconds)}
             left, low = (F.last(x, ignorenulls=True).over(before) for x in (known, at))
             right, high = (_next(x, by) for x in (known, at))

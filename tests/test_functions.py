@@ -132,7 +132,7 @@ def test_grid_and_fills(spark):
         timeseries.fill(regular, "t", ["v"], "cubic")
 
 
-@pytest.mark.parametrize("method", ["linear"])
+@pytest.mark.parametrize("method", ["linear", "backward"])
 @pytest.mark.parametrize("keys", [["k"], None])
 def test_fill_reads_no_frame_twice(spark, method, keys):
     """Values of long gaps by a plain loop; a frame to the window's end costs the square of the series' length."""
